@@ -16,7 +16,7 @@ from .cursor import Bounds, Cursor, CursorColumns, past, slice_bounds, to_cursor
 # step, whatever the backlog holds.
 SAMPLE_PAIRS = 16_384
 # Ranges made per planning step; larger backlogs are cut in several levels.
-FAN_OUT = 256
+FAN_OUT = 64
 # Ranges aim below the limit, so that sampling error rarely forces a second cut.
 _FILL = 0.8
 
@@ -131,15 +131,16 @@ def _range_sizes(
     df: DataFrame, columns: CursorColumns, cuts: list[Cursor]
 ) -> dict[int, int]:
     """Exact row count of every range, all in one pass over the two columns."""
-    pair = F.struct(F.col(columns.key).alias("key"), F.col(columns.id).alias("id"))
-    edges = F.array(*[_pair_literal(cut) for cut in cuts])
-    index = F.size(F.filter(edges, lambda edge: edge < pair))
+    index = _range_index(columns, cuts, 0, len(cuts))
     counted = df.groupBy(index.alias("range")).agg(F.count(F.lit(1)).alias("rows"))
     return {row["range"]: row["rows"] for row in counted.collect()}
 
 
-def _pair_literal(cursor: Cursor) -> Column:
-    return F.struct(
-        F.lit(cursor.key).cast(cursor.key_type).alias("key"),
-        F.lit(cursor.id).cast(cursor.id_type).alias("id"),
-    )
+def _range_index(columns: CursorColumns, cuts: list[Cursor], low: int, high: int) -> Column:
+    """Number of cuts before a row, by bisection: six comparisons for 63 cuts."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(
+        up_to(columns, cuts[middle]), _range_index(columns, cuts, low, middle)
+    ).otherwise(_range_index(columns, cuts, middle + 1, high))

@@ -1,3 +1,4 @@
+from .catalog import merge_into
 from .job import RunResult, run_job
 from .runs import RunHistory, error_summary, latest_runs
 from .spec import JobSpec, Step, TargetSpec
@@ -15,5 +16,6 @@ __all__ = [
     "UpsertResult",
     "error_summary",
     "latest_runs",
+    "merge_into",
     "run_job",
 ]

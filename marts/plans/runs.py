@@ -52,15 +52,18 @@ class RunHistory:
         row.write.parquet(self.folder.at(f"job_id={job_id}/run_id={run_id}"))
         return run_id
 
-    def read(self) -> DataFrame:
-        if not self.folder.entries(""):
+    def read(self, job_id: str | None = None) -> DataFrame:
+        """All runs, or one job's: its folder is then the only one listed."""
+        part = f"job_id={job_id}" if job_id else ""
+        if not self.folder.entries(part):
             return self.spark.createDataFrame([], SCHEMA)
-        runs = self.spark.read.schema(SCHEMA).parquet(self.folder.root)
+        reader = self.spark.read.schema(SCHEMA).option("basePath", self.folder.root)
+        runs = reader.parquet(self.folder.at(part))
         return runs.select("job_id", "run_id", *[part.split()[0] for part in _COLUMNS.split(", ")])
 
     def latest(self, job_id: str, limit: int = 50) -> DataFrame:
         """The job's last runs, newest first."""
-        return latest_runs(self.read(), job_id, limit)
+        return latest_runs(self.read(job_id), job_id, limit)
 
     def last_of_every_job(self) -> DataFrame:
         return last_per_group(self.read(), ["job_id"], ["started_at", "run_id"])

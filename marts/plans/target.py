@@ -112,6 +112,9 @@ class MartTable:
         self.spark = spark
         self.spec = spec
         self.folder = Folder(spark, f"{root.rstrip('/')}/{spec.name}")
+        declared = spec.struct()
+        if spec.mode == "replace" and not set(spec.key) <= set(declared.names):
+            raise ValueError(f"key {spec.key} is not in the schema of target {spec.name}")
 
     # -- versions -----------------------------------------------------------
 
@@ -185,10 +188,10 @@ class MartTable:
         unique = latest_rows(rows, self.spec.key, carried, counters).drop(*carried)
         schema = T.StructType([f for f in rows.schema.fields if f.name not in carried])
         buckets = base.buckets or self.spec.buckets
-        name = uuid.uuid4().hex
+        name = _new_id()
         if buckets and not base.files:
             path = f"data/snap={name}"
-            if buckets % int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            if buckets % _shuffle_width(self.spark):
                 unique = unique.repartition(buckets, *self.spec.key)
             # Otherwise the grouping above has already put every bucket whole
             # into one task.
@@ -336,7 +339,7 @@ class MartTable:
         if existing:
             old = self._read(base, existing).repartition(width, *self.spec.key)
             new = upsert_rows(old, new, self.spec.key)
-        snap = uuid.uuid4().hex
+        snap = _new_id()
         self._write_buckets(new, buckets, f"data/snap={snap}")
         return snap, buckets
 
@@ -400,7 +403,7 @@ class MartTable:
         if not base.files:
             raise ValueError("nothing to rewrite")
         rows = self._read(base, sorted(base.files)).repartition(buckets, *self.spec.key)
-        snap = uuid.uuid4().hex
+        snap = _new_id()
         self._write_buckets(rows, buckets, f"data/snap={snap}")
         present = [
             int(name.split("=")[1])
@@ -445,11 +448,24 @@ def _manifest_name(version: int) -> str:
     return f"manifests/manifest-{version:08d}.json"
 
 
+def _new_id() -> str:
+    # The letter in front keeps partition discovery from reading a number.
+    return f"s{uuid.uuid4().hex}"
+
+
 def _power_of_two(value: int) -> int:
     """The smallest power of two that is at least ``value``."""
     return 1 << max(value - 1, 0).bit_length()
 
 
+def _shuffle_width(spark: SparkSession) -> int:
+    """Partitions of a planned shuffle, before adaptive execution joins some."""
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        width = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", width)
+    return int(width)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 

@@ -166,8 +166,6 @@ class Bounds:
 
     @classmethod
     def of(cls, values: dict[str, Any], schema: T.StructType, columns: CursorColumns) -> Bounds:
-        if not values:
-            return cls(0, 0, None, None)
         return cls(
             values["rows"],
             values["null_rows"],

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,8 @@ def _load_all(
     seen = Observation()
     rows = source.observe(seen, F.count(F.lit(1)).alias("rows"))
     staged = table.stage(apply_steps(rows, job.transforms()), job.order, now)
-    result.rows_read = seen.get.get("rows", 0)
+    observed = _observed(seen)
+    result.rows_read = observed["rows"] if observed else source.count()
     published = table.publish(staged)
     result.rows_written = published.rows_written
     result.version = published.version
@@ -122,7 +124,11 @@ def _load_backlog(
             )
             out = apply_steps(usable, job.transforms())
             staged = table.stage(out, _row_order(job, out), now)
-            bounds = Bounds.of(seen.get, source.schema, columns)
+            metrics = _observed(seen)
+            if metrics:
+                bounds = Bounds.of(metrics, source.schema, columns)
+            else:
+                bounds = slice_bounds(rows, columns)
             bounds.reject_null_rows(columns)
             if not bounds.rows:
                 continue
@@ -143,6 +149,15 @@ def _load_backlog(
             staging.delete("")
 
 
+def _observed(seen: Observation) -> dict[str, Any]:
+    """The metrics, or nothing where Spark lost them: adaptive execution drops
+    the observed part of a plan whose result turns out empty."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def _pieces(pending: DataFrame, job: JobSpec) -> Iterator[Slice | None]:
     if job.max_rows is None:
         yield None

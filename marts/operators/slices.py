@@ -95,7 +95,9 @@ def _sample(
     counted = (
         picked.groupBy(typed_key.alias("key"), id_.alias("id"))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .orderBy("key", "id")
+        # Few rows by design: one task sorts them, without a range shuffle.
+        .coalesce(1)
+        .sortWithinPartitions("key", "id")
     )
     return [(to_cursor(row, df.schema, columns), row["rows"]) for row in counted.collect()]
 

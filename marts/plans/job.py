@@ -27,7 +27,7 @@ from ..sources.query import sql_source
 from .runs import RunHistory
 from .spec import JobSpec
 from .storage import Folder
-from .target import MartTable
+from .target import MartTable, Staged
 
 
 @dataclass
@@ -116,19 +116,7 @@ def _load_backlog(
         if staging is not None:
             pending = _stage_backlog(pending, job, staging)
         for piece in _pieces(pending, job):
-            rows = pending if piece is None else piece.of(pending, columns)
-            seen = Observation()
-            observed = rows.observe(seen, *bounds_aggregates(source.schema, columns))
-            usable = observed.where(
-                F.col(columns.key).isNotNull() & F.col(columns.id).isNotNull()
-            )
-            out = apply_steps(usable, job.transforms())
-            staged = table.stage(out, _row_order(job, out), now)
-            metrics = _observed(seen)
-            if metrics:
-                bounds = Bounds.of(metrics, source.schema, columns)
-            else:
-                bounds = slice_bounds(rows, columns)
+            staged, bounds = _stage_piece(table, job, pending, piece, now)
             bounds.reject_null_rows(columns)
             if not bounds.rows:
                 continue
@@ -149,6 +137,37 @@ def _load_backlog(
             staging.delete("")
 
 
+def _stage_piece(
+    table: MartTable, job: JobSpec, pending: DataFrame, piece: Slice | None, now: datetime
+) -> tuple[Staged, Bounds]:
+    """Stage one slice (``None``: all that is pending) and tell what was read, in
+    the same pass over the source."""
+    columns = job.cursor
+    rows = pending if piece is None else piece.of(pending, columns)
+    seen = Observation()
+    observed = rows.observe(seen, *bounds_aggregates(rows.schema, columns))
+    usable = observed.where(F.col(columns.key).isNotNull() & F.col(columns.id).isNotNull())
+    out = apply_steps(usable, job.transforms())
+
+    def nothing_read() -> bool:
+        metrics = _observed(seen)
+        return bool(metrics) and metrics["rows"] == 0
+
+    staged = table.stage(out, _row_order(job, out), now, nothing_read)
+    metrics = _observed(seen)
+    if metrics:
+        return staged, Bounds.of(metrics, rows.schema, columns)
+    if piece is not None:
+        return staged, Bounds(piece.rows, 0, None, piece.hi)
+    # Fix the end first and read up to it: rows that arrive meanwhile must stay
+    # after the checkpoint.
+    bounds = slice_bounds(pending, columns)
+    bounds.reject_null_rows(columns)
+    if not bounds.rows:
+        return staged, bounds
+    return _stage_piece(table, job, pending, Slice(None, bounds.last, bounds.rows), now)
+
+
 def _observed(seen: Observation) -> dict[str, Any]:
     """The metrics, or nothing where Spark lost them: adaptive execution drops
     the observed part of a plan whose result turns out empty."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
@@ -12,16 +13,16 @@ from ..operators.aggregates import last_per_group
 from .storage import Folder
 
 ERROR_LENGTH = 1000
-_COLUMNS = (
-    "started_at timestamp, finished_at timestamp, status string, "
-    "rows_read bigint, rows_written bigint, error_message string"
+SCHEMA = (
+    "job_id string, run_id string, started_at timestamp, finished_at timestamp, "
+    "status string, rows_read bigint, rows_written bigint, error_message string"
 )
-SCHEMA = f"job_id string, run_id string, {_COLUMNS}"
+_COLUMNS = [column.split()[0] for column in SCHEMA.split(", ")]
 
 
 class RunHistory:
-    """Each attempt writes its own folder, so concurrent jobs never share a
-    write; ``job_id`` is a partition column, so one job's runs prune."""
+    """Each attempt is one small JSON file of its own, so concurrent jobs never
+    share a write; ``job_id`` is a partition column, so one job's runs prune."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -38,18 +39,15 @@ class RunHistory:
         finished_at: datetime | None = None,
     ) -> str:
         run_id = uuid.uuid4().hex
-        values = {
-            "started_at": F.lit(started_at),
-            "finished_at": F.lit(finished_at or datetime.now(timezone.utc)),
-            "status": F.lit(status),
-            "rows_read": F.lit(rows_read).cast("bigint"),
-            "rows_written": F.lit(rows_written).cast("bigint"),
-            "error_message": F.lit(error[:ERROR_LENGTH] if error else None).cast("string"),
+        record = {
+            "started_at": started_at.isoformat(),
+            "finished_at": (finished_at or datetime.now(timezone.utc)).isoformat(),
+            "status": status,
+            "rows_read": rows_read,
+            "rows_written": rows_written,
+            "error_message": error[:ERROR_LENGTH] if error else None,
         }
-        row = self.spark.range(1).coalesce(1).select(
-            *[value.alias(name) for name, value in values.items()]
-        )
-        row.write.parquet(self.folder.at(f"job_id={job_id}/run_id={run_id}"))
+        self.folder.publish(f"job_id={job_id}/{run_id}.json", json.dumps({"run_id": run_id, **record}))
         return run_id
 
     def read(self, job_id: str | None = None) -> DataFrame:
@@ -58,8 +56,7 @@ class RunHistory:
         if not self.folder.entries(part):
             return self.spark.createDataFrame([], SCHEMA)
         reader = self.spark.read.schema(SCHEMA).option("basePath", self.folder.root)
-        runs = reader.parquet(self.folder.at(part))
-        return runs.select("job_id", "run_id", *[part.split()[0] for part in _COLUMNS.split(", ")])
+        return reader.json(self.folder.at(part)).select(*_COLUMNS)
 
     def latest(self, job_id: str, limit: int = 50) -> DataFrame:
         """The job's last runs, newest first."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 
@@ -170,12 +170,17 @@ class MartTable:
         return self.publish(self.stage(df, order, now))
 
     def stage(
-        self, df: DataFrame, order: Sequence[str] = (), now: datetime | None = None
+        self,
+        df: DataFrame,
+        order: Sequence[str] = (),
+        now: datetime | None = None,
+        is_empty: Callable[[], bool] = lambda: False,
     ) -> Staged:
         """Run the incoming plan once: fit, check, deduplicate, write aside.
 
         Counts come from the written rows, not from accumulators, so they stay
-        exact when Spark repeats tasks.
+        exact when Spark repeats tasks. ``is_empty`` is asked after the write; a
+        caller that then knows of no rows spares the look at them.
         """
         require_ansi(self.spark)
         base = self.manifest()
@@ -200,6 +205,9 @@ class MartTable:
             path = f"staging/{name}"
             unique.write.parquet(self.folder.at(path))
             buckets = buckets or self._bucket_count(self.folder.size(path))
+        if is_empty():
+            self.folder.delete(path)
+            return Staged(schema, buckets, (), 0)
         try:
             touched, rows_sent = self._inspect(path, buckets, unique.schema, list(rules), order)
         except Exception:

@@ -152,6 +152,21 @@ def test_steps_that_drop_everything_still_advance(spark, root):
     assert items(spark, root) == []
 
 
+def test_steps_that_drop_all_rows_of_a_growing_source(spark, root):
+    spark.createDataFrame(ten()[:5], "id int, title string, changed timestamp_ntz").write.parquet(
+        f"{root}/live"
+    )
+    steps = (lambda d: d.where("id > 6"),)
+    job = incremental(f"SELECT * FROM parquet.`{root}/live`", steps=steps)
+    result = run_job(spark, job, root)
+    assert (result.rows_read, result.rows_written, result.cursor.id) == (5, 0, "4")
+    spark.createDataFrame(ten()[5:], "id int, title string, changed timestamp_ntz").write.mode(
+        "append"
+    ).parquet(f"{root}/live")
+    result = run_job(spark, job, root)
+    assert (result.rows_read, result.rows_written, result.cursor.id) == (5, 3, "9")
+
+
 def test_cursor_is_independent_of_the_steps(spark, root):
     job = incremental(source(spark, ten({9: T0 + timedelta(1)})), steps=(lambda d: d.where("id = 3"),))
     result = run_job(spark, job, root)

@@ -6,19 +6,23 @@ upsert. Where the catalog has a table format with MERGE, use
 
 Layout below the target's folder::
 
-    manifests/manifest-00000007.json   version 7: bucket -> snapshot, schema, cursors
-    data/snap=<id>/_bucket=<n>/*.parquet
+    manifests/manifest-00000007.json   version 7: bucket -> files, schema, cursors
+    data/<snapshot>/*.parquet          Spark bucket files, hashed and sorted by key
     staging/<id>/                      deduplicated incoming rows of one upsert
 
-An upsert rewrites only the buckets its keys fall into, into a new snapshot
-folder, and then publishes one manifest that holds data and checkpoint.
-Nothing is visible before that, so a lost executor, a failed job or a crash
-leaves the old version and the old checkpoint.
+An upsert rewrites the buckets its keys fall into, into a new snapshot folder,
+and then publishes one manifest that holds data and checkpoint. Nothing is
+visible before that, so a lost executor, a failed job or a crash leaves the old
+version and the old checkpoint.
+
+A version that lies in one snapshot is read as a Spark bucketed table: merging
+into it, and joining or grouping it by key, needs no shuffle of the target.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -37,18 +41,29 @@ from ..session import require_ansi
 from .spec import TargetSpec
 from .storage import Folder
 
-BUCKET = "_bucket"
 # A bucket is one task's work in a merge.
 BUCKET_BYTES = 128 << 20
 # Below this, a table is not worth more tasks.
 _SMALL_BYTES = 1 << 20
 _MAX_ATTEMPTS = 8
+# More snapshots than this make the next upsert rewrite all buckets into one.
+_MAX_SNAPSHOTS = 32
+# Spark ends the name of a bucket's file with the bucket number.
+_BUCKET_FILE = re.compile(r"part-.*_(\d+)(?:\..*)?")
 
 
 class ConcurrentChange(RuntimeError):
     """Another run of the same job moved its checkpoint meanwhile."""
 
 
+@dataclass(frozen=True)
+class Files:
+    """Where one bucket's rows are."""
+
+    snapshot: str
+    names: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Manifest:
     """One published version. Its size is bounded by the number of buckets."""
@@ -56,8 +71,7 @@ class Manifest:
     version: int
     buckets: int | None = None
     schema: T.StructType | None = None
-    files: dict[int, str] = field(default_factory=dict)
-    written: dict[str, int] = field(default_factory=dict)
+    files: dict[int, Files] = field(default_factory=dict)
     cursors: dict[str, Cursor] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
 
@@ -67,8 +81,7 @@ class Manifest:
                 "version": self.version,
                 "buckets": self.buckets,
                 "schema": self.schema.jsonValue() if self.schema else None,
-                "files": self.files,
-                "written": self.written,
+                "files": {b: [f.snapshot, *f.names] for b, f in self.files.items()},
                 "cursors": {job: cursor.to_json() for job, cursor in self.cursors.items()},
                 "streams": self.streams,
             }
@@ -81,12 +94,17 @@ class Manifest:
             version=value["version"],
             buckets=value["buckets"],
             schema=T.StructType.fromJson(value["schema"]) if value["schema"] else None,
-            files={int(bucket): snap for bucket, snap in value["files"].items()},
-            written=value["written"],
+            files={
+                int(bucket): Files(entry[0], tuple(entry[1:]))
+                for bucket, entry in value["files"].items()
+            },
             cursors={job: Cursor(**cursor) for job, cursor in value["cursors"].items()},
             streams=value["streams"],
         )
 
+    def snapshots(self) -> set[str]:
+        return {files.snapshot for files in self.files.values()}
+
 
 @dataclass(frozen=True)
 class Staged:
@@ -97,7 +115,21 @@ class Staged:
     touched: tuple[int, ...]
     rows_sent: int
     folder: str | None = None
-    snap: str | None = None  # already laid out as buckets of an empty target
+    snapshot: str | None = None  # already laid out as buckets of an empty target
+
+
+@dataclass(frozen=True)
+class Merged:
+    """New files of the rewritten buckets, and the old ones they replace."""
+
+    buckets: int
+    new: dict[int, Files]
+    old: dict[int, Files | None]
+
+    def fits(self, base: Manifest) -> bool:
+        """True if nothing this merge has read was changed since."""
+        same = all(base.files.get(bucket) == files for bucket, files in self.old.items())
+        return same and base.buckets in (None, self.buckets)
 
 
 @dataclass(frozen=True)
@@ -138,28 +170,43 @@ class MartTable:
     def read(self, version: int | None = None) -> DataFrame:
         """The target as of a version (the latest one by default)."""
         manifest = self.manifest(version)
-        return self._read(manifest, sorted(manifest.files))
+        return self._read(manifest)
 
-    def _read(self, manifest: Manifest, buckets: Sequence[int]) -> DataFrame:
+    def _read(
+        self, manifest: Manifest, buckets: Sequence[int] | None = None
+    ) -> DataFrame:
+        """The rows of some buckets, or of all."""
         schema = manifest.schema or self.spec.struct()
         if schema is None:
             raise ValueError(f"target {self.spec.name} was never written")
-        names = [field.name for field in schema.fields]
-        if not buckets:
+        if not manifest.files or (buckets is not None and not buckets):
             return self.spark.createDataFrame([], _nullable(schema))
-        by_snap: dict[str, list[int]] = {}
-        for bucket in buckets:
-            by_snap.setdefault(manifest.files[bucket], []).append(bucket)
-        paths = []
-        for snap, members in by_snap.items():
-            base = self.folder.at(f"data/snap={snap}")
-            # A snapshot that is wanted whole is one path to list, not thousands.
-            if len(members) == manifest.written[snap]:
-                paths.append(base)
-            else:
-                paths.extend(f"{base}/{BUCKET}={bucket}" for bucket in members)
-        reader = self.spark.read.schema(_nullable(schema))
-        return reader.option("basePath", self.folder.at("data")).parquet(*paths).select(*names)
+        snapshots = manifest.snapshots()
+        if buckets is None and len(snapshots) == 1:
+            # Holds: a snapshot's buckets are only ever replaced, and a bucket
+            # replaced would have added a second snapshot.
+            return self._read_bucketed(snapshots.pop(), manifest.buckets, schema)
+        paths = [
+            self.folder.at(f"data/{manifest.files[bucket].snapshot}/{name}")
+            for bucket in (manifest.files if buckets is None else buckets)
+            for name in manifest.files[bucket].names
+        ]
+        return self.spark.read.schema(_nullable(schema)).parquet(*paths)
+
+    def _read_bucketed(self, snapshot: str, buckets: int, schema: T.StructType) -> DataFrame:
+        name = f"marts_{_new_id()}"
+        key = ", ".join(f"`{column}`" for column in self.spec.key)
+        path = self.folder.at(f"data/{snapshot}").replace("'", "\\'")
+        # An external table only lends its bucketing to the frame: dropping the
+        # name leaves the files alone.
+        self.spark.sql(
+            f"CREATE TABLE {name} ({_nullable(schema).toDDL()}) USING parquet "
+            f"OPTIONS (path '{path}') CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS"
+        )
+        try:
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
 
     # -- upsert -------------------------------------------------------------
 
@@ -195,12 +242,12 @@ class MartTable:
         buckets = base.buckets or self.spec.buckets
         name = _new_id()
         if buckets and not base.files:
-            path = f"data/snap={name}"
+            path = f"data/{name}"
             if buckets % _shuffle_width(self.spark):
                 unique = unique.repartition(buckets, *self.spec.key)
             # Otherwise the grouping above has already put every bucket whole
             # into one task.
-            self._write_buckets(unique, buckets, path)
+            self._write_buckets(unique, buckets, name)
         else:
             path = f"staging/{name}"
             unique.write.parquet(self.folder.at(path))
@@ -220,7 +267,7 @@ class MartTable:
             touched=touched,
             rows_sent=rows_sent,
             folder=None if laid_out else path,
-            snap=name if laid_out else None,
+            snapshot=name if laid_out else None,
         )
 
     def publish(
@@ -238,20 +285,16 @@ class MartTable:
         """
         if not staged.touched and cursor is None and stream is None:
             return UpsertResult(self.manifest().version, 0, 0)
-        merged_on: Manifest | None = None
-        snap = None
+        merged: Merged | None = None
         for _ in range(_MAX_ATTEMPTS):
             base = self.manifest()
             if cursor is not None and base.cursors.get(job_id) != start:
                 raise ConcurrentChange(f"job {job_id!r} was advanced by another run")
             if stream is not None and base.streams.get(stream[0], -1) >= stream[1]:
                 return UpsertResult(base.version, 0, 0)
-            if staged.touched and not _same_input(merged_on, base, staged):
-                merged_on = base
-                snap, buckets = self._merge(base, staged)
-            elif not staged.touched:
-                buckets = base.buckets
-            result = self._successor(base, staged, snap, buckets)
+            if staged.touched and (merged is None or not merged.fits(base)):
+                merged = self._merge(base, staged)
+            result = self._successor(base, staged, merged)
             if cursor is not None:
                 result.cursors[job_id] = cursor
             if stream is not None:
@@ -328,66 +371,66 @@ class MartTable:
         touched = tuple(sorted(row["bucket"] for row in found))
         return touched, sum(row["sent"] for row in found)
 
-    def _merge(self, base: Manifest, staged: Staged) -> tuple[str, int]:
-        """Write the touched buckets of the next version; returns their snapshot."""
-        if staged.snap and not base.files and (base.buckets or staged.buckets) == staged.buckets:
-            return staged.snap, staged.buckets
+    def _merge(self, base: Manifest, staged: Staged) -> Merged:
+        """Write the next version of the buckets the staged rows fall into."""
+        if staged.snapshot and not base.files and base.buckets in (None, staged.buckets):
+            new = self._files(staged.snapshot)
+            return Merged(staged.buckets, new, dict.fromkeys(new))
         buckets = base.buckets or staged.buckets
-        names = [field.name for field in staged.schema.fields]
-        path = staged.folder or f"data/snap={staged.snap}"
-        new = self.spark.read.schema(_nullable(staged.schema)).parquet(self.folder.at(path))
-        new = new.select(*names)
-        touched = self._touched(staged, buckets)
-        width = min(buckets, _power_of_two(4 * len(touched)))
-        # Hash partitioning and bucket number use the same hash, and the width
-        # divides the bucket count: every bucket is whole in one task, joined
-        # and written without another shuffle.
-        new = new.repartition(width, *self.spec.key)
+        touched = _touched(staged, buckets)
+        new = self.spark.read.schema(_nullable(staged.schema)).parquet(
+            self.folder.at(staged.folder or f"data/{staged.snapshot}")
+        )
         existing = [bucket for bucket in touched if bucket in base.files]
+        # A rewrite of most buckets takes in the rest: the version then lies in
+        # one snapshot and stays bucketed for its readers and the next merge.
+        whole = 2 * len(existing) >= len(base.files) or len(base.snapshots()) >= _MAX_SNAPSHOTS
+        if whole:
+            existing = list(base.files)
+        # Spark's hash partitioning and its bucket number are the same function,
+        # and the width divides the bucket count: a bucket is whole in one task,
+        # joined and written without another shuffle.
+        width = buckets if whole else min(buckets, _power_of_two(4 * len(touched)))
+        new = new.repartition(width, *self.spec.key)
         if existing:
-            old = self._read(base, existing).repartition(width, *self.spec.key)
+            old = self._read(base, None if whole else existing)
+            if not whole or len(base.snapshots()) > 1:
+                old = old.repartition(width, *self.spec.key)
             new = upsert_rows(old, new, self.spec.key)
-        snap = _new_id()
-        self._write_buckets(new, buckets, f"data/snap={snap}")
-        return snap, buckets
-
-    def _touched(self, staged: Staged, buckets: int) -> list[int]:
-        if buckets == staged.buckets:
-            return list(staged.touched)
-        # Bucket counts are powers of two, so the smaller one is a remainder.
-        if buckets < staged.buckets:
-            return sorted({bucket % buckets for bucket in staged.touched})
-        return sorted(
-            bucket
-            for low in staged.touched
-            for bucket in range(low, buckets, staged.buckets)
+        snapshot = _new_id()
+        self._write_buckets(new, buckets, snapshot)
+        replaced = {*existing, *touched}
+        return Merged(
+            buckets, self._files(snapshot), {b: base.files.get(b) for b in replaced}
         )
 
-    def _write_buckets(self, df: DataFrame, buckets: int, path: str) -> None:
-        bucket = F.pmod(F.hash(*self.spec.key), F.lit(buckets))
-        placed = df.withColumn(BUCKET, bucket)
-        ordered = placed.sortWithinPartitions(BUCKET, *self.spec.key)
-        ordered.write.partitionBy(BUCKET).parquet(self.folder.at(path))
-
-    def _successor(
-        self, base: Manifest, staged: Staged, snap: str | None, buckets: int | None
-    ) -> Manifest:
-        files = dict(base.files)
-        written = dict(base.written)
-        schema = base.schema
-        if snap is not None:
-            touched = self._touched(staged, buckets)
-            files.update({bucket: snap for bucket in touched})
-            written[snap] = len(touched)
+    def _write_buckets(self, df: DataFrame, buckets: int, snapshot: str) -> None:
+        name = f"marts_{_new_id()}"
+        writer = df.write.format("parquet").bucketBy(buckets, *self.spec.key)
+        writer = writer.sortBy(*self.spec.key).option("path", self.folder.at(f"data/{snapshot}"))
+        writer.saveAsTable(name)
+        df.sparkSession.sql(f"DROP TABLE {name}")
+
+    def _files(self, snapshot: str) -> dict[int, Files]:
+        names: dict[int, list[str]] = {}
+        for name, _ in self.folder.entries(f"data/{snapshot}"):
+            match = _BUCKET_FILE.fullmatch(name)
+            if match:
+                names.setdefault(int(match.group(1)), []).append(name)
+        return {bucket: Files(snapshot, tuple(found)) for bucket, found in names.items()}
+
+    def _successor(self, base: Manifest, staged: Staged, merged: Merged | None) -> Manifest:
+        schema, buckets, files = base.schema, base.buckets, dict(base.files)
+        if merged is not None:
             schema = _merged_schema(base.schema, staged.schema)
-        live = set(files.values())
+            buckets = merged.buckets
+            files.update(merged.new)
         return replace(
             base,
             version=base.version + 1,
             buckets=buckets,
             schema=schema,
             files=files,
-            written={name: count for name, count in written.items() if name in live},
             cursors=dict(base.cursors),
             streams=dict(base.streams),
         )
@@ -410,20 +453,11 @@ class MartTable:
         base = self.manifest()
         if not base.files:
             raise ValueError("nothing to rewrite")
-        rows = self._read(base, sorted(base.files)).repartition(buckets, *self.spec.key)
-        snap = _new_id()
-        self._write_buckets(rows, buckets, f"data/snap={snap}")
-        present = [
-            int(name.split("=")[1])
-            for name, _ in self.folder.entries(f"data/snap={snap}")
-            if name.startswith(f"{BUCKET}=")
-        ]
+        snapshot = _new_id()
+        rows = self._read(base).repartition(buckets, *self.spec.key)
+        self._write_buckets(rows, buckets, snapshot)
         result = replace(
-            base,
-            version=base.version + 1,
-            buckets=buckets,
-            files={bucket: snap for bucket in present},
-            written={snap: len(present)},
+            base, version=base.version + 1, buckets=buckets, files=self._files(snapshot)
         )
         self.folder.publish(_manifest_name(result.version), result.to_json())
 
@@ -435,13 +469,12 @@ class MartTable:
             raise ValueError("keep at least one version")
         versions = self.versions()
         kept, dropped = versions[-keep:], versions[:-keep]
-        live = {snap for v in kept for snap in self.manifest(v).files.values()}
-        dead = {snap for v in dropped for snap in self.manifest(v).files.values()} - live
+        live = {snapshot for v in kept for snapshot in self.manifest(v).snapshots()}
+        dead = {snapshot for v in dropped for snapshot in self.manifest(v).snapshots()} - live
         oldest = (time.time() - orphan_age.total_seconds()) * 1000
         doomed = []
         for name, modified in self.folder.entries("data"):
-            snap = name.partition("=")[2]
-            if snap in dead or (snap and snap not in live and modified < oldest):
+            if name in dead or (name not in live and modified < oldest):
                 doomed.append(f"data/{name}")
         for name, modified in self.folder.entries("staging"):
             if modified < oldest:
@@ -457,8 +490,7 @@ def _manifest_name(version: int) -> str:
 
 
 def _new_id() -> str:
-    # The letter in front keeps partition discovery from reading a number.
-    return f"s{uuid.uuid4().hex}"
+    return uuid.uuid4().hex
 
 
 def _power_of_two(value: int) -> int:
@@ -485,10 +517,11 @@ def _merged_schema(old: T.StructType | None, new: T.StructType) -> T.StructType:
     return _nullable(T.StructType(list(old.fields) + added))
 
 
-def _same_input(merged_on: Manifest | None, base: Manifest, staged: Staged) -> bool:
-    """True if the files merged earlier still fit on top of ``base``."""
-    if merged_on is None or merged_on.buckets != base.buckets or merged_on.schema != base.schema:
-        return False
-    if base.buckets not in (None, staged.buckets):
-        return False
-    return all(merged_on.files.get(b) == base.files.get(b) for b in staged.touched)
+def _touched(staged: Staged, buckets: int) -> list[int]:
+    """The staged rows' buckets in a target of another bucket count. Counts are
+    powers of two, so the smaller one is a remainder of the larger."""
+    if buckets <= staged.buckets:
+        return sorted({bucket % buckets for bucket in staged.touched})
+    return sorted(
+        bucket for low in staged.touched for bucket in range(low, buckets, staged.buckets)
+    )

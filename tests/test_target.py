@@ -173,10 +173,39 @@ def test_merge_shuffles_each_side_once(spark, root, monkeypatch):
     table = MartTable(spark, root, PLAIN)
     table.upsert(spark.range(100).selectExpr("CAST(id AS INT) AS k", "1 AS v"))
     table.upsert(spark.range(100).selectExpr("CAST(id AS INT) AS k", "2 AS v"))
+    table.upsert(spark.createDataFrame([(5, 3)], "k int, v int"))
+    table.upsert(spark.range(100).selectExpr("CAST(id AS INT) AS k", "4 AS v"))
     # First load: the grouping's shuffle (8 wide) already places the buckets.
     assert plans[0].count("Exchange hashpartitioning") == 1
-    assert plans[1].count("Exchange hashpartitioning") == 2
-    assert "FullOuter" in plans[1] and "Cartesian" not in plans[1]
+    # All in one snapshot: only the incoming rows are shuffled.
+    assert plans[1].count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plans[1]
+    # One bucket of eight, then two snapshots: the rows read are shuffled too.
+    assert plans[2].count("Exchange hashpartitioning") == 2
+    assert plans[3].count("Exchange hashpartitioning") == 2
+    assert all("FullOuter" in plan for plan in plans[1:])
+    assert content(table) == [(k, 4) for k in range(100)]
+
+
+def test_reading_by_key_needs_no_shuffle(spark, root):
+    table = MartTable(spark, root, PLAIN)
+    table.upsert(spark.range(100).selectExpr("CAST(id AS INT) AS k", "1 AS v"))
+    plan = table.read().groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("marts_")] == []
+
+
+def test_many_snapshots_are_joined_into_one(spark, root, monkeypatch):
+    from marts.plans import target as target_module
+
+    monkeypatch.setattr(target_module, "_MAX_SNAPSHOTS", 3)
+    table = MartTable(spark, root, PLAIN)
+    table.upsert(spark.range(64).selectExpr("CAST(id AS INT) AS k", "0 AS v"))
+    counts = []
+    for k in (0, 1, 2, 3, 4):
+        table.upsert(spark.createDataFrame([(k, k + 1)], "k int, v int"))
+        counts.append(len(table.manifest().snapshots()))
+    assert max(counts) <= 3 and 1 in counts
+    assert content(table) == [(k, k + 1 if k < 5 else 0) for k in range(64)]
 
 
 def test_failure_before_publish_leaves_the_old_version(spark, root, monkeypatch):

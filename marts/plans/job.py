@@ -158,7 +158,7 @@ def _stage_piece(
     if metrics:
         return staged, Bounds.of(metrics, rows.schema, columns)
     if piece is not None:
-        return staged, Bounds(piece.rows, 0, None, piece.hi)
+        return staged, Bounds(slice_bounds(rows, columns).rows, 0, None, piece.hi)
     # Fix the end first and read up to it: rows that arrive meanwhile must stay
     # after the checkpoint.
     bounds = slice_bounds(pending, columns)

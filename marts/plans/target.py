@@ -194,7 +194,7 @@ class MartTable:
         return self.spark.read.schema(_nullable(schema)).parquet(*paths)
 
     def _read_bucketed(self, snapshot: str, buckets: int, schema: T.StructType) -> DataFrame:
-        name = f"marts_{_new_id()}"
+        name = _lent_name()
         key = ", ".join(f"`{column}`" for column in self.spec.key)
         path = self.folder.at(f"data/{snapshot}").replace("'", "\\'")
         # An external table only lends its bucketing to the frame: dropping the
@@ -374,8 +374,8 @@ class MartTable:
     def _merge(self, base: Manifest, staged: Staged) -> Merged:
         """Write the next version of the buckets the staged rows fall into."""
         if staged.snapshot and not base.files and base.buckets in (None, staged.buckets):
-            new = self._files(staged.snapshot)
-            return Merged(staged.buckets, new, dict.fromkeys(new))
+            written = self._files(staged.snapshot)
+            return Merged(staged.buckets, written, dict.fromkeys(written))
         buckets = base.buckets or staged.buckets
         touched = _touched(staged, buckets)
         new = self.spark.read.schema(_nullable(staged.schema)).parquet(
@@ -399,17 +399,20 @@ class MartTable:
             new = upsert_rows(old, new, self.spec.key)
         snapshot = _new_id()
         self._write_buckets(new, buckets, snapshot)
+        written = self._files(snapshot)
         replaced = {*existing, *touched}
-        return Merged(
-            buckets, self._files(snapshot), {b: base.files.get(b) for b in replaced}
-        )
+        if set(written) != replaced:
+            raise RuntimeError(f"wrote buckets {sorted(written)}, expected {sorted(replaced)}")
+        return Merged(buckets, written, {b: base.files.get(b) for b in replaced})
 
     def _write_buckets(self, df: DataFrame, buckets: int, snapshot: str) -> None:
-        name = f"marts_{_new_id()}"
+        name = _lent_name()
         writer = df.write.format("parquet").bucketBy(buckets, *self.spec.key)
         writer = writer.sortBy(*self.spec.key).option("path", self.folder.at(f"data/{snapshot}"))
-        writer.saveAsTable(name)
-        df.sparkSession.sql(f"DROP TABLE {name}")
+        try:
+            writer.saveAsTable(name)
+        finally:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _files(self, snapshot: str) -> dict[int, Files]:
         names: dict[int, list[str]] = {}
@@ -489,6 +492,11 @@ def _manifest_name(version: int) -> str:
     return f"manifests/manifest-{version:08d}.json"
 
 
+def _lent_name() -> str:
+    """A catalog name that lives for one statement."""
+    return f"spark_catalog.default.marts_{_new_id()}"
+
+
 def _new_id() -> str:
     return uuid.uuid4().hex
 

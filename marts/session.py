@@ -44,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -357,6 +357,26 @@ def test_composite_and_string_keys(spark, root):
     assert content(table) == [("x", 1, 1.0), ("x", 2, 5.0), ("y", 1, 3.0)]
 
 
+@pytest.mark.parametrize(
+    "dtype", ["BIGINT", "STRING", "DECIMAL(20,2)", "DATE", "TIMESTAMP_NTZ", "DOUBLE", "BOOLEAN"]
+)
+def test_bucket_numbers_agree_for_every_key_type(spark, root, dtype):
+    """The touched buckets are computed, the files' buckets are named by Spark."""
+    casts = {
+        "DATE": "date_add(DATE'2024-01-01', CAST(id AS INT))",
+        "TIMESTAMP_NTZ": "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, CAST(id AS INT))",
+        "BOOLEAN": "id % 2 = 0",
+    }
+    rows = spark.range(40).selectExpr(f"{casts.get(dtype, f'CAST(id AS {dtype})')} AS k", "id AS v")
+    spec = TargetSpec("typed", ("k",), f"k {dtype} NOT NULL, v BIGINT", buckets=4)
+    table = MartTable(spark, root, spec)
+    table.upsert(rows.where("v < 30"), order=("v",))
+    table.upsert(rows.where("v >= 30"), order=("v",))
+    table.upsert(rows.where("v = 7").withColumn("v", F.lit(1000)), order=("v",))
+    found = table.read().agg(F.count("*"), F.max("v")).first()
+    assert tuple(found) == (2 if dtype == "BOOLEAN" else 40, 1000)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(

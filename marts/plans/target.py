@@ -231,13 +231,14 @@ class MartTable:
         """
         require_ansi(self.spark)
         base = self.manifest()
-        rows, carried = self._conform(df, order, now, base)
+        rows, ranking = self._conform(df, order, now, base)
+        carried = [name for name in ranking if name not in order]
         present = T.StructType([f for f in self._declared().fields if f.name in rows.columns])
         rules = {**not_null_rules(present, self.spec.key), **self.spec.rules}
         counters = {
             f"_broken_{i}": F.count_if(violated(rule)) for i, rule in enumerate(rules.values())
         }
-        unique = latest_rows(rows, self.spec.key, carried, counters).drop(*carried)
+        unique = latest_rows(rows, self.spec.key, ranking, counters).drop(*carried)
         schema = T.StructType([f for f in rows.schema.fields if f.name not in carried])
         buckets = base.buckets or self.spec.buckets
         name = _new_id()
@@ -314,23 +315,39 @@ class MartTable:
     def _conform(
         self, df: DataFrame, order: Sequence[str], now: datetime | None, base: Manifest
     ) -> tuple[DataFrame, list[str]]:
-        """Rows in the target's shape plus hidden copies of the order columns."""
+        """Rows in the target's shape, and the columns that rank equal keys. An
+        order column the target drops or changes is carried along hidden."""
         absent = [name for name in order if name not in df.columns]
         if absent:
             raise ValueError(f"rows lack order columns {absent}")
-        carried = [f"_order_{i}" for i in range(len(order))]
-        df = df.withColumns(dict(zip(carried, [F.col(name) for name in order]))) if order else df
         if self.spec.mode == "replace":
             now = now or datetime.now(timezone.utc)
-            rows = project(
-                df, self.spec.struct(), self.spec.required_columns(),
-                self.spec.load_time, now, carried,
-            )
+
+            def fit(frame: DataFrame, carry: Sequence[str]) -> DataFrame:
+                return project(
+                    frame, self.spec.struct(), self.spec.required_columns(),
+                    self.spec.load_time, now, carry,
+                )
         else:
             known = {f.name: f for f in self._declared().fields}
             known.update({f.name: f for f in base.schema.fields} if base.schema else {})
-            rows = document(df, T.StructType(list(known.values())), self.spec.key, carried)
-        return rows, carried
+
+            def fit(frame: DataFrame, carry: Sequence[str]) -> DataFrame:
+                fields = T.StructType(list(known.values()))
+                return document(frame, fields, self.spec.key, carry)
+
+        kept = fit(df, ()).schema
+        hidden = {
+            name: f"_order_{i}"
+            for i, name in enumerate(order)
+            if name == self.spec.load_time
+            or name not in kept.names
+            or kept[name].dataType != df.schema[name].dataType
+        }
+        if hidden:
+            df = df.withColumns({alias: F.col(name) for name, alias in hidden.items()})
+        rows = fit(df, tuple(hidden.values()))
+        return rows, [hidden.get(name, name) for name in order]
 
     def _inspect(
         self,
@@ -349,7 +366,6 @@ class MartTable:
         bucket = F.pmod(F.hash(*self.spec.key), F.lit(buckets))
         per_bucket = written.groupBy(bucket.alias("bucket")).agg(
             F.sum(SENT).alias("sent"),
-            F.max(SENT).alias("most"),
             F.coalesce(F.sum(F.when(null_key, F.col(SENT))), F.lit(0)).alias("null_keys"),
             F.count_if(F.col(SENT) > 1).alias("repeated"),
             *[F.sum(f"_broken_{i}").alias(f"broken_{i}") for i in range(len(rules))],
@@ -440,7 +456,9 @@ class MartTable:
 
     def _bucket_count(self, size: int) -> int:
         cores = self.spark.sparkContext.defaultParallelism
-        return _power_of_two(max(size // BUCKET_BYTES, min(cores, size // _SMALL_BYTES), 1))
+        wanted = _power_of_two(max(size // BUCKET_BYTES, min(cores, size // _SMALL_BYTES), 1))
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        return min(wanted, 1 << (most.bit_length() - 1))
 
     # -- maintenance --------------------------------------------------------
 
@@ -452,7 +470,8 @@ class MartTable:
         )
 
     def rebucket(self, buckets: int) -> None:
-        """Rewrite the target with another bucket count as it grows."""
+        """Rewrite the target with another bucket count as it grows; raises
+        FileExistsError if another writer published meanwhile."""
         base = self.manifest()
         if not base.files:
             raise ValueError("nothing to rewrite")

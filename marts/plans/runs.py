@@ -62,6 +62,10 @@ class RunHistory:
         """The job's last runs, newest first."""
         return latest_runs(self.read(job_id), job_id, limit)
 
+    def reset(self) -> None:
+        """Forget all runs."""
+        self.folder.delete("")
+
     def last_of_every_job(self) -> DataFrame:
         return last_per_group(self.read(), ["job_id"], ["started_at", "run_id"])
 

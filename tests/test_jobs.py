@@ -5,7 +5,6 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from marts.operators import CursorColumns, film_dim, normalize_title
 from marts.plans import (
@@ -191,7 +190,8 @@ def test_null_cursor_rows(spark, root):
 def test_backdated_rows_need_the_overlap(spark, root):
     query = source(spark, ten({9: T0 + timedelta(hours=3)}))
     run_job(spark, incremental(query), root)
-    rows = [(i, "late" if i == 2 else t, c) for i, t, c in ten({2: T0 + timedelta(hours=2), 9: T0 + timedelta(hours=3)})]
+    moved = ten({2: T0 + timedelta(hours=2), 9: T0 + timedelta(hours=3)})
+    rows = [(i, "late" if i == 2 else t, c) for i, t, c in moved]
     source(spark, rows)
     missed = run_job(spark, incremental(query), root)
     assert missed.rows_read == 0
@@ -294,6 +294,8 @@ def test_runs(spark, root):
     for limit in (0, 501):
         with pytest.raises(ValueError):
             latest_runs(history.read(), "a", limit)
+    history.reset()
+    assert history.read().collect() == []
 
 
 def test_film_marts(spark, root):

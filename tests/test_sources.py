@@ -42,6 +42,15 @@ def test_schema_qualified_source(spark, root):
     assert sorted(rows.collect()) == [("f1", 7.5, 2), ("f2", 10.0, 1)]
 
 
+def test_lateral_select_is_a_projection(spark):
+    """CROSS JOIN LATERAL of a SELECT without FROM runs without any join."""
+    df = sql_source(
+        spark, "SELECT * FROM range(3) q CROSS JOIN LATERAL (SELECT q.id * 2 AS twice) s"
+    )
+    assert sorted(df.collect()) == [(0, 0), (1, 2), (2, 4)]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ordered_page_puts_nulls_last(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 4)], "id int, v int")
     assert [r.id for r in ordered_page(df, ["v", "id"], 1, 5).collect()] == [2, 1]

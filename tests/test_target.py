@@ -58,7 +58,8 @@ def test_load_time_is_never_the_sources(spark, root):
 def test_merge_keeps_absent_columns_and_takes_nulls(spark, root):
     table = MartTable(spark, root, FILM_DIM_DOCUMENTS)
     table.upsert(films(spark, ("a", "A", 8.5), ("b", "B", 7.0)))
-    table.upsert(spark.createDataFrame([("a", "A2", "new")], "film_id string, title string, description string"))
+    schema = "film_id string, title string, description string"
+    table.upsert(spark.createDataFrame([("a", "A2", "new")], schema))
     table.upsert(films(spark, ("b", "B", None), ("c", "C", 1.0)))
     assert content(table, "film_id", "title", "rating", "description") == [
         ("a", "A2", 8.5, "new"), ("b", "B", None, None), ("c", "C", 1.0, None)

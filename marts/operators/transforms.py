@@ -79,13 +79,17 @@ def rows_transform(
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(target)
 
+    # Both are local, so that they reach the workers by value.
+    async def resolved(awaitable: Any) -> Any:
+        return await awaitable
+
     def batches(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in records:
             if not batch.num_rows:
                 continue
             result = fn(batch.to_pylist())
             if inspect.isawaitable(result):
-                result = asyncio.run(_resolved(result))
+                result = asyncio.run(resolved(result))
             if isinstance(result, (str, bytes, Mapping)) or not isinstance(result, Iterable):
                 raise TypeError(f"a transform must return rows, got {type(result).__name__}")
             rows = [dict(row) for row in result]
@@ -93,7 +97,3 @@ def rows_transform(
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
     return lambda df: df.mapInArrow(batches, target)
-
-
-async def _resolved(awaitable: Any) -> Any:
-    return await awaitable

@@ -76,15 +76,6 @@ def task_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_steps(_films(spark, sf_dir), [film_dim, normalize_title])
 
 
-def _lines(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
-    return [
-        {"doc_id": row["doc_id"], "line_no": number, "line": line}
-        for row in rows
-        for number, line in enumerate(row["text"].split("\n"), start=1)
-        if line
-    ]
-
-
 @query(
     "batch_python_transform",
     """SELECT doc_id, line_no, lines[line_no] AS line FROM (
@@ -93,21 +84,29 @@ def _lines(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
        WHERE lines[line_no] <> ''""",
 )
 def batch_python_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = rows_transform(_lines, "doc_id bigint, line_no bigint, line string")
+    # Local functions travel to the workers by value, without this package.
+    def lines(rows: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        return [
+            {"doc_id": row["doc_id"], "line_no": number, "line": line}
+            for row in rows
+            for number, line in enumerate(row["text"].split("\n"), start=1)
+            if line
+        ]
+
+    step = rows_transform(lines, "doc_id bigint, line_no bigint, line string")
     return apply_steps(read_table(spark, sf_dir, "documents").select("doc_id", "text"), [step])
 
 
-def _line_counts(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.assign(n_lines=frame["text"].str.count("\n") + 1)[["doc_id", "n_lines"]]
-
-
 @query(
     "pandas_transform",
     """SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines
        FROM documents""",
 )
 def pandas_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = pandas_transform(_line_counts, "doc_id bigint, n_lines bigint")
+    def line_counts(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(n_lines=frame["text"].str.count("\n") + 1)[["doc_id", "n_lines"]]
+
+    step = pandas_transform(line_counts, "doc_id bigint, n_lines bigint")
     return apply_steps(read_table(spark, sf_dir, "documents").select("doc_id", "text"), [step])
 
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import subprocess
+import sys
 from decimal import Decimal
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +73,23 @@ def test_rows_transform_must_return_rows(spark, result):
         apply_steps(spark.range(1), [step]).collect()
 
 
+def test_transforms_travel_without_this_package(tmp_path):
+    """Workers need not have the library on their path."""
+
+    class Frame:
+        def mapInArrow(self, fn, schema):
+            return cloudpickle.dumps(fn)
+
+        mapInPandas = mapInArrow
+
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    for step in (rows_transform(lambda rows: rows, schema), pandas_transform(len, schema)):
+        subprocess.run(
+            [sys.executable, "-c", "import pickle, sys; pickle.load(sys.stdin.buffer)"],
+            input=step(Frame()), cwd=tmp_path, check=True, timeout=60,
+        )
+
+
 def test_rows_transform_keeps_types(spark):
     df = spark.sql(
         "SELECT DATE'2024-01-02' d, TIMESTAMP_NTZ'2024-01-02 03:04:05.000006' n, "

@@ -8,7 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marts.llm import chat, decontaminate, exact_dedup, language_id, packing, pii, warc
+from marts.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    packing,
+    pii,
+    substring_repeats,
+    warc,
+)
 from marts.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +114,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(given.unionByName(own)))
 
 
+# -- op2: repeated substrings -----------------------------------------------------
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_repeats.remove_repeats(spark, docs).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 # -- op3: personal data -----------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from marts.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    jaccard_join,
     language_id,
     packing,
     pii,
@@ -185,6 +186,39 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+# -- op6: n-gram Jaccard join -----------------------------------------------------
+
+OP6_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY a, b
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * i >= 80 * (p.n + q.n - i)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+@query("op6_jaccard_join", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(spark, table(spark, sf_dir, "documents"))
+
+
 # -- op7: language identification -------------------------------------------------
 
 

@@ -15,11 +15,16 @@ from marts.llm.queries import vocabulary
 from marts.session import new_folder
 
 
+#: Score under which a text resembles none of the languages.
+LEAST_SCORE = 0.2
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language is known; those without a letter or text go."""
+    """Documents of which a language is known; those without a letter or like no profile go."""
     profiles = language_id.language_profiles(docs)
     found = language_id.identify(docs, profiles)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(known).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

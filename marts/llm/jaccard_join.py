@@ -401,8 +401,10 @@ class _Join:
             .where("open")
             .select("h")
         )
-        region = open_rows.join(several, "h").join(sketches, "sid")
-        rest = region.groupBy("h").applyInArrow(_cell_pairs, "a long, b long").distinct()
+        # All large regions of a document: a pair is given out by its least common one.
+        homes = dense.groupBy("sid").agg(F.collect_list("h").alias("homes"))
+        region = open_rows.join(several, "h").join(sketches, "sid").join(homes, "sid")
+        rest = region.groupBy("h").applyInArrow(_cell_pairs, "a long, b long")
         rest = self.written(rest, "cells")
         if rest.isEmpty():
             return links
@@ -427,6 +429,8 @@ _CELL_WORDS = 16
 def _cell_pairs(region: pa.Table) -> pa.Table:
     """Open pairs of a region: not connected, and not ruled out by size or sketch."""
     sid, comp, n = (region[c].to_numpy() for c in ("sid", "comp", "n"))
+    h = region["h"][0].as_py()
+    homes = [set(x) for x in region["homes"].to_pylist()]
     bits = np.zeros((len(sid), _CELL_WORDS), dtype=np.uint64)
     words = np.zeros(len(sid), dtype=np.int64)
     for i, s in enumerate(region["sketch"].to_pylist()):
@@ -441,8 +445,9 @@ def _cell_pairs(region: pa.Table) -> pa.Table:
         if 2 * width <= _CELL_WORDS:
             view ^= bits[rows, width : 2 * width]
         for i, j in metric_pairs(view, n[rows], comp[rows]):
-            a, b = sid[rows[i]], sid[rows[j]]
-            out.add((min(a, b), max(a, b)))
+            if min(homes[rows[i]] & homes[rows[j]]) == h:
+                a, b = sid[rows[i]], sid[rows[j]]
+                out.add((min(a, b), max(a, b)))
     return pa.table(
         {
             "a": pa.array([x for x, _ in out], pa.int64()),

@@ -40,16 +40,27 @@ def chunks(text: Column, low: int = MIN_CHARS, high: int = MAX_CHARS) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def hash_clashes(texts: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
-    """``(h, chunk, ordinal)`` of chunks that share a hash with another content."""
-    distinct = (
+def _distinct_chunks(texts: DataFrame, chunk_hash) -> DataFrame:
+    return (
         texts.select(F.explode(chunks(F.col("text"))).alias("chunk"))
         .select(chunk_hash("chunk").alias("h"), "chunk")
         .distinct()
     )
-    clash = distinct.groupBy("h").count().where("count > 1").select("h")
+
+
+def clashing_hashes(texts: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
+    """``h`` of chunks that share their hash with another content; chunks move once."""
+    return _distinct_chunks(texts, chunk_hash).groupBy("h").count().where("count > 1").select("h")
+
+
+def clashing_chunks(texts: DataFrame, hashes: DataFrame, chunk_hash=F.xxhash64) -> DataFrame:
+    """``(h, chunk, ordinal)`` of the contents behind the given hashes."""
     order = Window.partitionBy("h").orderBy("chunk")
-    return distinct.join(clash, "h").withColumn("ordinal", F.row_number().over(order))
+    return (
+        _distinct_chunks(texts, chunk_hash)
+        .join(hashes, "h", "left_semi")
+        .withColumn("ordinal", F.row_number().over(order))
+    )
 
 
 def recipes(
@@ -62,15 +73,16 @@ def recipes(
     # Written, so that the test below and the repair read it instead of chunking
     # again; it has a row only where two contents share a hash.
     folder = new_folder(spark, "chunk-clashes")
-    hash_clashes(rows, chunk_hash).write.parquet(folder)
-    clashes = spark.read.parquet(folder)
+    clashing_hashes(rows, chunk_hash).write.parquet(folder)
+    hashes = spark.read.parquet(folder)
     plain = rows.select(
         "doc_id",
         F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
         F.transform(chunks(F.col("text")), lambda c: chunk_hash(c)).alias("recipe"),
     )
-    if clashes.isEmpty():
+    if hashes.isEmpty():
         return plain
+    clashes = clashing_chunks(rows, hashes, chunk_hash)
     # Exact repair of the texts that hold such a chunk: their identifiers carry the
     # ordinal as a second entry, (h, ordinal), marked by its position.
     parts = rows.select(

@@ -33,11 +33,6 @@ from marts.llm.tokens import WordTokenizer
 DOCS = "doc_id long, text string, lang string, leaks string, base int, h string"
 
 
-@pytest.fixture(scope="module", autouse=True)
-def folder(spark, tmp_path_factory):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 def docs(spark, texts, ids=None, lang="en"):
     ids = range(len(texts)) if ids is None else ids
     rows = [(i, t, lang, "clash", 1, "clash") for i, t in zip(ids, texts, strict=True)]

@@ -14,11 +14,6 @@ from test_operators import brute_components, brute_leaks
 TABLES = ("documents", "pages", "benchmark", "conversations")
 
 
-@pytest.fixture(scope="module", autouse=True)
-def folder(spark, tmp_path_factory):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, small, name):
     con = duckdb.connect()

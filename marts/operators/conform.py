@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.documents import jsonify
+from ..functions.documents import document_id, iso_text, jsonify
+
+
+def match_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns in the spelling of ``names``, by the session's rule on case.
+
+    Columns that differ only by case are an error unless the session tells them
+    apart.
+    """
+    if df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() == "true":
+        return df
+    lower = [name.lower() for name in df.columns]
+    twice = sorted({name for name in df.columns if lower.count(name.lower()) > 1})
+    if twice:
+        raise ValueError(f"columns {twice} differ only by case")
+    spelling = {name.lower(): name for name in reversed(names)}
+    return df.toDF(*[spelling.get(name.lower(), name) for name in df.columns])
 
 
 def project(
@@ -48,15 +64,35 @@ def document(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """All columns of the rows as JSON-safe values; those ``schema`` knows are
-    cast to its types."""
+    cast to its types, a decimal key that it does not know becomes text, digit by digit."""
     missing = [name for name in key if name not in df.columns]
     if missing:
         raise ValueError(f"rows lack the document id {missing}; they have {df.columns}")
     known = {field.name: field.dataType for field in schema.fields} if schema else {}
-    body = jsonify(df, skip=carry)
+    ids = [
+        name
+        for name in key
+        if name not in known and isinstance(df.schema[name].dataType, T.DecimalType)
+    ]
+    body = jsonify(df, skip=[*carry, *known, *ids])
     return body.select(
         *[
-            F.col(name).cast(known[name]).alias(name) if name in known else F.col(name)
+            _declared(body, name, known[name])
+            if name in known
+            else document_id(F.col(name)).alias(name)
+            if name in ids
+            else F.col(name)
             for name in body.columns
         ]
     )
+
+
+def _declared(df: DataFrame, name: str, dtype: T.DataType) -> Column:
+    """A declared column in its type, from the value itself: a decimal keeps its
+    digits, dates and times become text the way documents show them."""
+    value, given = F.col(name), df.schema[name].dataType
+    if isinstance(dtype, T.StringType) and not isinstance(given, T.StringType):
+        shown = jsonify(df.select(name)).schema[name].dataType
+        if isinstance(shown, T.StringType):
+            value = iso_text(value, given)
+    return value.cast(dtype).alias(name)

@@ -52,11 +52,14 @@ def latest_rows(
     )
 
 
-def upsert_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+def upsert_rows(
+    old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
     """``old`` with the rows of ``new`` inserted or updated; both unique by key.
 
     A column of ``new`` overwrites, NULL included; a column only ``old`` has
-    keeps its value; a column only ``new`` has is added.
+    keeps its value; a column only ``new`` has is added. If both sides have the
+    ``order`` columns, an old row that ranks higher stays as it is.
     """
     left = old.select([F.col(name).alias(f"o_{name}") for name in old.columns])
     right = new.select(
@@ -66,6 +69,11 @@ def upsert_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame
     for name in key:
         matched = matched & (F.col(f"o_{name}") == F.col(f"n_{name}"))
     joined = left.join(right, matched, "full_outer")
+    if order and all(name in old.columns and name in new.columns for name in order):
+        rank = lambda side: F.struct(*(F.col(f"{side}_{name}") for name in order))
+        inserted = F.col(f"o_{key[0]}").isNull()
+        newer = F.col("_new") & (inserted | (rank("n") >= rank("o")))
+        joined = joined.withColumn("_new", newer)
     columns = []
     for name in [*old.columns, *[c for c in new.columns if c not in old.columns]]:
         if name in key:
@@ -73,7 +81,7 @@ def upsert_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame
         elif name not in new.columns:
             value = F.col(f"o_{name}")
         elif name not in old.columns:
-            value = F.col(f"n_{name}")
+            value = F.when(F.col("_new"), F.col(f"n_{name}"))
         else:
             value = F.when(F.col("_new"), F.col(f"n_{name}")).otherwise(F.col(f"o_{name}"))
         columns.append(value.alias(name))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import last_per_group
 from .storage import Folder
 
-ERROR_LENGTH = 1000
 SCHEMA = (
     "job_id string, run_id string, started_at timestamp, finished_at timestamp, "
     "status string, rows_read bigint, rows_written bigint, error_message string"
@@ -45,7 +44,7 @@ class RunHistory:
             "status": status,
             "rows_read": rows_read,
             "rows_written": rows_written,
-            "error_message": error[:ERROR_LENGTH] if error else None,
+            "error_message": error or None,
         }
         self.folder.publish(f"job_id={job_id}/{run_id}.json", json.dumps({"run_id": run_id, **record}))
         return run_id
@@ -77,11 +76,13 @@ def latest_runs(runs: DataFrame, job_id: str, limit: int = 50) -> DataFrame:
     return ordered.limit(limit)
 
 
-def error_summary(runs: DataFrame, characters: int = 200) -> DataFrame:
-    """Length and head of the error text of each run."""
+def error_summary(runs: DataFrame, characters: int = 200, most: int = 1000) -> DataFrame:
+    """Length and head of each run's error text, of which this view shows ``most``
+    characters; the stored text is whole."""
+    text = F.substring("error_message", 1, most)
     return runs.select(
         "run_id",
         "status",
-        F.length("error_message").alias("error_length"),
-        F.substring("error_message", 1, characters).alias("error_head"),
+        F.length(text).alias("error_length"),
+        F.substring(text, 1, characters).alias("error_head"),
     )

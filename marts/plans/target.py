@@ -21,6 +21,7 @@ into it, and joining or grouping it by key, needs no shuffle of the target.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import time
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.checks import not_null_rules, violated
-from ..operators.conform import document, project
+from ..operators.conform import document, match_names, project
 from ..operators.cursor import Cursor
 from ..operators.merge import SENT, latest_rows, upsert_rows
 from ..session import require_ansi
@@ -116,6 +117,7 @@ class Staged:
     rows_sent: int
     folder: str | None = None
     snapshot: str | None = None  # already laid out as buckets of an empty target
+    order: tuple[str, ...] = ()  # what the target stores of the order, if all of it
 
 
 @dataclass(frozen=True)
@@ -140,8 +142,12 @@ class UpsertResult:
 
 
 class MartTable:
-    def __init__(self, spark: SparkSession, root: str, spec: TargetSpec) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, spec: TargetSpec, attempts: int = _MAX_ATTEMPTS
+    ) -> None:
+        """``attempts``: tries to publish a finished merge against other writers."""
         self.spark = spark
+        self.attempts = attempts
         self.spec = spec
         self.folder = Folder(spark, f"{root.rstrip('/')}/{spec.name}")
         declared = spec.struct()
@@ -269,6 +275,7 @@ class MartTable:
             rows_sent=rows_sent,
             folder=None if laid_out else path,
             snapshot=name if laid_out else None,
+            order=() if carried else tuple(order),
         )
 
     def publish(
@@ -285,9 +292,11 @@ class MartTable:
         keeps its files if the buckets it read are unchanged, else merges again.
         """
         if not staged.touched and cursor is None and stream is None:
+            self._discard(staged)
             return UpsertResult(self.manifest().version, 0, 0)
+        self._grow(staged)
         merged: Merged | None = None
-        for _ in range(_MAX_ATTEMPTS):
+        for _ in range(self.attempts):
             base = self.manifest()
             if cursor is not None and base.cursors.get(job_id) != start:
                 raise ConcurrentChange(f"job {job_id!r} was advanced by another run")
@@ -307,8 +316,28 @@ class MartTable:
             if staged.folder:
                 self.folder.delete(staged.folder)
             return UpsertResult(result.version, staged.rows_sent, len(staged.touched))
+        self._discard(staged)
         raise ConcurrentChange(f"target {self.spec.name}: no free version")
 
+    def _discard(self, staged: Staged) -> None:
+        if staged.folder:
+            self.folder.delete(staged.folder)
+
+    def _grow(self, staged: Staged) -> None:
+        """Let the bucket count follow the target's size, unless the spec fixes it.
+
+        Rewrites the target when its bytes ask for twice the buckets or more, so
+        over its whole growth every row is rewritten about once more.
+        """
+        base = self.manifest()
+        if self.spec.buckets or not base.files or not staged.folder:
+            return
+        size = sum(self.folder.size(f"data/{name}") for name in base.snapshots())
+        wanted = self._bucket_count(size + self.folder.size(staged.folder))
+        if wanted >= 2 * base.buckets:
+            with contextlib.suppress(FileExistsError):  # another writer was faster
+                self.rebucket(wanted)
+
     def _declared(self) -> T.StructType:
         return self.spec.struct() or T.StructType([])
 
@@ -317,6 +346,8 @@ class MartTable:
     ) -> tuple[DataFrame, list[str]]:
         """Rows in the target's shape, and the columns that rank equal keys. An
         order column the target drops or changes is carried along hidden."""
+        stored = base.schema.names if base.schema else []
+        df = match_names(df, [*self._declared().names, *stored, *self.spec.key, *order])
         absent = [name for name in order if name not in df.columns]
         if absent:
             raise ValueError(f"rows lack order columns {absent}")
@@ -412,7 +443,7 @@ class MartTable:
             old = self._read(base, None if whole else existing)
             if not whole or len(base.snapshots()) > 1:
                 old = old.repartition(width, *self.spec.key)
-            new = upsert_rows(old, new, self.spec.key)
+            new = upsert_rows(old, new, self.spec.key, staged.order)
         snapshot = _new_id()
         self._write_buckets(new, buckets, snapshot)
         written = self._files(snapshot)
@@ -475,6 +506,8 @@ class MartTable:
         base = self.manifest()
         if not base.files:
             raise ValueError("nothing to rewrite")
+        if buckets < 1 or buckets & (buckets - 1):
+            raise ValueError("the bucket count must be a power of two")
         snapshot = _new_id()
         rows = self._read(base).repartition(buckets, *self.spec.key)
         self._write_buckets(rows, buckets, snapshot)

@@ -20,19 +20,34 @@ CAST_TYPE_NAMES = {
     "uuid": "string",
     "timestamptz": "timestamp",
 }
+# A number type without digits has any number of them there; here it gets these.
+_ANY_NUMERIC = "decimal(38,18)"
 _QUOTED_OR_CAST = re.compile(
     r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/"
-    rf"|::\s*({'|'.join(CAST_TYPE_NAMES)})\b",
+    rf"|::\s*({'|'.join(CAST_TYPE_NAMES)})\b|::\s*(numeric|decimal)\b(?!\s*\()"
+    rf"|\bAS\s+({'|'.join(CAST_TYPE_NAMES)})\s*(?=\))|\bAS\s+(numeric|decimal)\s*(?=\))"
+    r"|\b(?:TRY_)?CAST\s*\(|\(|\)",
     re.IGNORECASE | re.DOTALL,
 )
 
 
 def spark_cast_names(query: str) -> str:
-    """``x::float8`` as ``x::double``; quoted text and comments are left alone."""
+    """``x::float8`` and ``CAST(x AS float8)`` as double; quoted text and comments
+    are left alone, and so is an alias before any other closing parenthesis."""
+    casts: list[bool] = []  # of the open parentheses, those of a cast
 
     def rename(match: re.Match[str]) -> str:
-        name = match.group(1)
-        return f"::{CAST_TYPE_NAMES[name.lower()]}" if name else match.group(0)
+        short, short_numeric, long, long_numeric = match.groups()
+        text = match.group(0)
+        if short or short_numeric:
+            return f"::{CAST_TYPE_NAMES[short.lower()] if short else _ANY_NUMERIC}"
+        if (long or long_numeric) and casts and casts[-1]:
+            return f"AS {CAST_TYPE_NAMES[long.lower()] if long else _ANY_NUMERIC}"
+        if text.endswith("(") and not text.startswith(("'", '"', "-", "/")):
+            casts.append(len(text) > 1)
+        elif text == ")" and casts:
+            casts.pop()
+        return text
 
     return _QUOTED_OR_CAST.sub(rename, query)
 

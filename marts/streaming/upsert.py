@@ -42,7 +42,9 @@ def start_upsert(
 
     The batch number is published with the data, so a batch Spark replays after
     a failure is skipped if it had been committed. ``order`` decides between
-    rows of one key within a batch; between batches the later batch wins.
+    rows of one key within a batch. Where the target stores its columns unchanged it
+    also decides against the stored row, so files may come late; where it does not,
+    the later batch wins.
     ``checkpoint`` and ``stream_id`` belong together: a new checkpoint folder
     needs a new id.
     """

@@ -190,6 +190,21 @@ def rating_agg_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, text, "events")
 
 
+@query(
+    "rating_agg_cast",
+    """SELECT user_id, CAST(avg(value) AS DOUBLE) AS avg_value, CAST(count(*) AS INTEGER) AS n,
+         CAST(CAST(max(value) AS DECIMAL(38,18)) AS DOUBLE) AS top
+       FROM events GROUP BY user_id""",
+)
+def rating_agg_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type names inside CAST, and a number type without digits."""
+    text = (
+        "SELECT user_id, CAST(AVG(value) AS float8) AS avg_value, CAST(COUNT(*) AS int4) AS n, "
+        "CAST(MAX(value)::NUMERIC AS float8) AS top FROM events GROUP BY user_id"
+    )
+    return _sql(spark, sf_dir, text, "events")
+
+
 @query(
     "join_inner",
     """SELECT c.c_name, o.o_orderkey, o.o_totalprice

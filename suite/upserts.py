@@ -20,10 +20,10 @@ from marts.operators import (
 )
 from marts.plans import JobSpec, MartTable, RunHistory, Step, TargetSpec, run_job
 from marts.session import new_folder
-from marts.sources import read_table, register_folder
+from marts.sources import read_table, register_folder, sql_source
 from marts.streaming import file_stream, start_upsert
 
-from .registry import query
+from .registry import ORACLES, query
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 BY_DATE = CursorColumns("o_orderdate", "o_orderkey")
@@ -121,6 +121,55 @@ def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().drop("updated_at")
 
 
+@query(
+    "upsert_load_time",
+    """SELECT p_partkey AS item_id, p_name AS title, p_retailprice AS price,
+         CASE WHEN p_size > 16 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-05-01 00:00:00'
+         END AS updated_at
+       FROM part""",
+)
+def upsert_load_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load time of each row's last run, whatever the rows say."""
+    items = _items(spark, sf_dir).withColumn("updated_at", F.lit("1970-01-01").cast("timestamp"))
+    table = _table(spark, ITEMS)
+    table.upsert(items.where("size <= 33"), now=datetime(2024, 5, 1, tzinfo=timezone.utc))
+    table.upsert(items.where("size > 16"), now=NOW)
+    return table.read().withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query(
+    "upsert_column_case",
+    "SELECT p_partkey AS item_id, p_name AS title, p_retailprice AS price FROM part",
+)
+def upsert_column_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns meet the target's by name without regard to case."""
+    register_folder(spark, sf_dir, ["part"])
+    text = "SELECT P_PARTKEY AS ITEM_ID, P_NAME AS title, P_RETAILPRICE AS PRICE FROM part"
+    rows = sql_source(spark, text)
+    table = _table(spark, ITEMS)
+    table.upsert(rows, now=NOW)
+    return table.read().drop("updated_at")
+
+
+@query(
+    "upsert_documents_decimal_id",
+    """SELECT CAST(l_orderkey + 9007199254740992 AS VARCHAR) AS order_id,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DECIMAL(20,2)) AS price
+       FROM lineitem GROUP BY l_orderkey""",
+)
+def upsert_documents_decimal_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal ids become text, and declared decimals keep their digits."""
+    spec = TargetSpec("orders_by_id", ("order_id",), "price DECIMAL(20,2)", mode="merge")
+    rows = read_table(spark, sf_dir, "lineitem").groupBy(
+        (F.col("l_orderkey").cast("decimal(20,0)") + F.lit(2**53).cast("decimal(20,0)"))
+        .cast("decimal(20,0)")
+        .alias("order_id")
+    ).agg(F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).cast("decimal(20,2)").alias("price"))
+    table = _table(spark, spec)
+    table.upsert(rows)
+    return table.read()
+
+
 @query(
     "upsert_merge",
     """SELECT p_partkey AS item_id, CAST(CASE WHEN p_size <= 33 THEN p_retailprice END AS FLOAT)
@@ -319,6 +368,25 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query("stream_late_rows", ORACLES["stream_upsert"])
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest files come first, several per write: the last event still wins."""
+    events = read_table(spark, sf_dir, "events")
+    root = new_folder(spark, "query")
+    for low, high in reversed(_quarters(events)):
+        span = events.where((F.col("ts") >= low) & (F.col("ts") < high))
+        span.repartition(3).write.mode("append").parquet(f"{root}/source")
+    target = TargetSpec(
+        "last_events",
+        ("user_id",),
+        "user_id BIGINT, event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, value DOUBLE",
+    )
+    table = MartTable(spark, root, target)
+    stream = file_stream(spark, f"{root}/source", events.schema, max_files=2)
+    start_upsert(stream, table, "events", f"{root}/checkpoint", order=("ts",)).awaitTermination()
+    return table.read()
+
+
 def _quarters(events: DataFrame) -> list[tuple]:
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     step = (last - first) / 4

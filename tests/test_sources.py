@@ -56,3 +56,14 @@ def test_ordered_page_puts_nulls_last(spark):
     assert [r.id for r in ordered_page(df, ["v", "id"], 1, 5).collect()] == [2, 1]
     pages = [r.id for k in range(0, 4, 2) for r in ordered_page(df, ["v", "id"], k, 2).collect()]
     assert pages == [3, 2, 1]
+
+
+def test_type_names_inside_casts_only():
+    text = "SELECT CAST((a + 1) AS float8), x::NUMERIC, y::numeric(4,1) FROM (SELECT 'CAST(' AS text) t"
+    assert spark_cast_names(text) == (
+        "SELECT CAST((a + 1) AS double), x::decimal(38,18), y::numeric(4,1) FROM (SELECT 'CAST(' AS text) t"
+    )
+
+
+def test_bare_numeric_keeps_its_fraction(spark):
+    assert float(sql_source(spark, "SELECT 3.75::NUMERIC AS n").first().n) == 3.75

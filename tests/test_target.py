@@ -450,3 +450,30 @@ def test_merge_into_builds_sparks_merge(spark, root):
     df = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
     with pytest.raises(Exception, match="MERGE INTO TABLE"):
         merge_into(df, "merge_target", ["k"], ["v"])
+
+
+def test_columns_that_differ_by_case(spark, root):
+    table = MartTable(spark, root, FILM_DIM)
+    table.upsert(spark.sql("SELECT 'a' AS FILM_ID, 'A' AS Title, 5.0 AS RATING"))
+    assert content(table, "film_id", "title", "rating") == [("a", "A", Decimal("5.0"))]
+    with pytest.raises(ValueError, match="only by case"):
+        table.upsert(spark.sql("SELECT 'a' AS film_id, 'A' AS title, 1 AS rating").toDF("film_id", "title", "Title"))
+
+
+def test_a_late_older_row_does_not_win(spark, root):
+    table = MartTable(spark, root, TargetSpec("last", ("id",), "id BIGINT, ts INT, v STRING"))
+    table.upsert(spark.createDataFrame([(1, 2, "new")], "id long, ts int, v string"), order=("ts",))
+    late = [(1, 1, "old"), (2, 1, "first")]
+    table.upsert(spark.createDataFrame(late, "id long, ts int, v string"), order=("ts",))
+    assert content(table, "id", "ts", "v") == [(1, 2, "new"), (2, 1, "first")]
+
+
+def test_bucket_count_follows_the_target(spark, root, monkeypatch):
+    monkeypatch.setattr("marts.plans.target.BUCKET_BYTES", 1 << 16)
+    table = MartTable(spark, root, TargetSpec("grown", ("id",), "id BIGINT, v DOUBLE"))
+    rows = lambda n: spark.range(n).select("id", F.rand(1).alias("v"))
+    table.upsert(rows(10))
+    assert table.manifest().buckets == 1
+    table.upsert(rows(100_000))
+    assert table.manifest().buckets > 1 and table.read().count() == 100_000
+    assert not os.path.exists(f"{root}/grown/staging") or not os.listdir(f"{root}/grown/staging")

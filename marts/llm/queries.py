@@ -14,6 +14,7 @@ from marts.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    line_dedup,
     packing,
     pii,
     substring_repeats,
@@ -231,6 +232,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+# -- op8: repeated lines ----------------------------------------------------------
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.to_json("spans").alias("spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 # -- op9: WARC --------------------------------------------------------------------
 
 OP9_SQL = """

@@ -1,9 +1,9 @@
 """Substring deduplication by line hashing.
 
-A unit is a line. Its normal form is lower case with blanks joined and trimmed; units
-of fewer than ``LEAST_WORDS`` words are left alone. Of equal units in the whole table
-the first by (doc_id, position) stays, all others are removed with their line end, and
-the removed spans keep their byte offsets in the input.
+A unit is a line. Its normal form is lower case with ASCII blanks joined and trimmed;
+units of fewer than ``LEAST_WORDS`` words are left alone. Of equal units in the whole
+table the first by (doc_id, position) stays, all others are removed with their line end,
+and the removed spans keep their byte offsets in the input.
 
 Units travel as 128-bit digests and places. The first place of each digest comes from
 a minimum that is combined before the shuffle; the join that returns it has one row a
@@ -11,7 +11,7 @@ digest on one side, so adaptive execution splits a frequent line's other side.
 
 Defined cases: null text is empty; a null ``doc_id`` ranks first; rows equal in id and
 text are one document to the ranking and keep the same units; an empty table gives an
-empty result. Other columns are ignored.
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from marts.llm.workers import ship
 LEAST_WORDS = 5
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = 0
             for line in _LINE.findall(text):
                 size = len(line.encode())
-                words = line.lower().split()
+                words = _WORD.findall(line.lower())
                 if len(words) >= LEAST_WORDS:
                     digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
                     row.append(i)
@@ -80,7 +81,7 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     gone = units.join(first, ["c1", "c2"]).where(~place.eqNullSafe(F.col("first")))
     same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.col("uid").alias("k2")]
     spans = gone.groupBy(*same).agg(
-        F.collect_list(F.shiftleft("low", 32).bitwiseOR(F.col("high"))).alias("packed")
+        F.collect_set(F.shiftleft("low", 32).bitwiseOR(F.col("high"))).alias("packed")
     )
     joined = rows.select(*same, "doc_id", "text").join(spans, ["k1", "k2"], "left")
     return joined.select("doc_id", "text", "packed").mapInArrow(

@@ -235,7 +235,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- op8: repeated lines ----------------------------------------------------------
 
 
-@query("op8_substring_dedup")
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), numbered AS (
+  SELECT doc_id, l.line, l.i FROM (
+    SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^\n]*\n|[^\n]+'),
+      lambda x, i: {'line': x, 'i': i})) AS l
+    FROM texts)
+), placed AS (
+  SELECT doc_id, line, i, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words,
+    sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY i) AS high
+  FROM numbered
+), judged AS (
+  SELECT doc_id, line, i, (high - strlen(line))::BIGINT AS low, high::BIGINT AS high,
+    len(words) >= 5 AND row_number() OVER (
+      PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS gone
+  FROM placed
+), runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM judged
+), cut AS (
+  SELECT doc_id, min(low) AS low, max(high) AS high FROM runs WHERE gone GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
+    '[' || string_agg('{"low":' || low || ',"high":' || high || '}', ',' ORDER BY low) || ']' AS spans
+  FROM cut GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(line, '' ORDER BY i) AS text FROM judged WHERE NOT gone GROUP BY doc_id
+)
+SELECT doc_id, strlen(t.text) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, coalesce(spans, '[]') AS spans,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN cuts USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op8_substring_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
         "doc_id",

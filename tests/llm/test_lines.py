@@ -1,12 +1,76 @@
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+
 from marts.llm import line_dedup
 
+SCHEMA = "doc_id long, text string, kept int, low string, c1 string, packed string"
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, None, "x", None) for i, t in rows], SCHEMA)
+
+
+def _got(df):
+    return [(r.doc_id, bytes(r.kept).decode()) for r in line_dedup.drop_repeated_lines(df).collect()]
+
+
+def _brute(rows):
+    """First of equal normalised lines by (doc_id, position), for distinct ids that are not null."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        kept = []
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
+            words = re.findall(r"[^ \t-\r]+", line.lower())
+            unit = hashlib.sha256(" ".join(words).encode()).digest()
+            if len(words) < 5 or unit not in seen:
+                kept.append(line)
+            if len(words) >= 5:
+                seen.add(unit)
+        out[doc_id] = "".join(kept)
+    return out
+
 
 def test_first_line_stays(spark):
     a, b = "one two three four five", "six seven eight nine ten"
     texts = [f"{a}\nshort\n{b}", f"x\n{a.upper()} \nshort\n", None, "", f"{b}\n{b}"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
-    got = {r.doc_id: bytes(r.kept).decode() for r in line_dedup.drop_repeated_lines(df).collect()}
-    assert got == {0: texts[0], 1: "x\nshort\n", 2: "", 3: "", 4: ""}
+    df = _frame(spark, enumerate(texts))
+    assert dict(_got(df)) == {0: texts[0], 1: "x\nshort\n", 2: "", 3: "", 4: ""}
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_as_brute_force(spark):
+    rng = random.Random(3)
+    lines = ["É una línea de texto", "É UNA\tlínea  de texto\r", "a b c d", "", " ", "five words in this line here"]
+    lines += [" ".join(rng.choices("abcd", k=6)) for _ in range(20)]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(30)))) for i in range(60)]
+    rows.append((99, "\n".join(rng.choices(lines, k=60_000))))
+    rng.shuffle(rows)
+    want = _brute(rows)
+    assert dict(_got(_frame(spark, rows).repartition(7))) == want
+
+
+def test_offsets_are_bytes_of_the_input(spark):
+    line = "é è ê ë ñ\n"
+    df = _frame(spark, [(1, line), (2, f"ü\n{line}ü\n{line}{line}")])
+    r = next(r for r in line_dedup.drop_repeated_lines(df).collect() if r.doc_id == 2)
+    size = len(line.encode())
+    assert [(s.low, s.high) for s in r.spans] == [(3, 3 + size), (6 + size, 6 + 3 * size)]
+    assert (r.n_bytes, r.n_removed, bytes(r.kept).decode()) == (6 + 3 * size, 3 * size, "ü\nü\n")
+
+
+def test_null_ids_rank_first_and_repeated_rows_are_one(spark):
+    line = "one two three four five"
+    rows = [(None, line), (1, line), (7, "six seven eight nine ten"), (7, "six seven eight nine ten")]
+    assert sorted(_got(_frame(spark, rows)), key=str) == sorted(
+        [(None, line), (1, ""), (7, rows[2][1]), (7, rows[2][1])], key=str
+    )
+    assert dict(_got(_frame(spark, [(None, None), (None, "")]))) == {None: ""}
+
+
+def test_every_line_equal(spark):
+    line = "one two three four five\n"
+    got = dict(_got(_frame(spark, [(i, line * 5) for i in range(500)])))
+    assert got[0] == line and set(v for k, v in got.items() if k) == {""}

@@ -111,7 +111,7 @@ def _load_backlog(
     )
     result.cursor = position
     result.version = table.manifest().version
-    staging = Folder(table.spark, new_folder(table.spark, "backlog")) if job.stage_backlog else None
+    staging = Folder(table.spark, new_folder(table.spark, "backlog")) if job.stages() else None
     try:
         if staging is not None:
             pending = _stage_backlog(pending, job, staging)

@@ -82,9 +82,10 @@ class JobSpec:
     order a repeated key is an error.
 
     ``max_rows`` cuts the backlog into slices that are committed one by one.
-    Every slice reads the source again through a range filter, so it suits
-    sources laid out by the cursor key; ``stage_backlog`` writes the backlog
-    once, ordered, for all others (aggregates, unclustered tables).
+    The backlog is then written once, ordered, and read from there, so that the
+    source is evaluated once a run. ``stage_backlog=False`` leaves that out: every
+    slice reads the source again through a range filter, which suits sources laid
+    out by the cursor key.
     """
 
     job_id: str
@@ -95,7 +96,7 @@ class JobSpec:
     steps: tuple[Step | Callable[[DataFrame], DataFrame], ...] = ()
     order: tuple[str, ...] = ()
     max_rows: int | None = None
-    stage_backlog: bool = False
+    stage_backlog: bool | None = None
     overlap: timedelta | None = None
     null_keys: str = "error"
 
@@ -123,6 +124,10 @@ class JobSpec:
     def transforms(self) -> list[Callable[[DataFrame], DataFrame]]:
         return [step.transform if isinstance(step, Step) else step for step in self.steps]
 
+    def stages(self) -> bool:
+        """Whether the backlog is written aside before it is cut."""
+        return self.max_rows is not None if self.stage_backlog is None else self.stage_backlog
+
     def final_target(self) -> TargetSpec:
         last = self.steps[-1] if self.steps else None
         return (last.target if isinstance(last, Step) else None) or self.target

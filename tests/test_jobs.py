@@ -250,7 +250,7 @@ def test_aggregate_source_is_computed_once_when_staged(spark, root, monkeypatch)
         return out
 
     monkeypatch.setattr(job_module, "_stage_backlog", spy)
-    result = run_job(spark, incremental(query, max_rows=2, stage_backlog=True), root)
+    result = run_job(spark, incremental(query, max_rows=2), root)
     assert result.rows_read == 5 and result.slices == 3
     assert "Aggregate" not in read[0]
 

@@ -9,6 +9,8 @@ in the table.
    bytes; segments travel as (anchor, 128-bit digest, place), without text.
 2. Segments are sorted by anchor and digest and read as a stream, so that no group,
    however large, is held. Segments with an equal one elsewhere are repeated whole.
+   Of equal segments in one slice of texts only the first, marked, is shuffled: a
+   segment that a third of all rows consist of costs one row a slice in its task.
    An anchor with one segment has no repeat. What is left are anchors with several
    different segments: one of each content is kept for the next step.
 3. The texts of those segments are fetched and dealt into buckets by anchor. Each
@@ -26,7 +28,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,10 @@ _PART_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 _ROW = ["doc_id", "uid"]
-_SEGMENTS = "anchor long, c1 long, c2 long, doc_id long, uid long, start long, count long"
+_SEGMENTS = (
+    "anchor long, c1 long, c2 long, doc_id long, uid long, start long, count long, "
+    "copied boolean, settled boolean"
+)
 _FOUND = "whole boolean, anchor long, doc_id long, uid long, start long, count long, several boolean"
 _SPANS = "doc_id long, uid long, low long, high long"
 
@@ -111,6 +115,18 @@ def _two(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pair[:, 0], pair[:, 1]
 
 
+def _copies(anchor: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> dict[str, np.ndarray]:
+    """Of equal rows at hand, the first is ``copied``; the others are ``settled``."""
+    order = np.lexsort((c2, c1, anchor))
+    a, x, y = anchor[order], c1[order], c2[order]
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (a[1:] == a[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    copied, settled = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+    settled[order] = again
+    copied[order[:-1]] = again[1:] & ~again[:-1]
+    return {"copied": copied, "settled": settled}
+
+
 def _segment_rows(length: int, gram: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +141,10 @@ def _segment_rows(length: int, gram: int):
                 ends = (offsets[text] + start + count + length - 1).tolist()
                 c1, c2 = _two([_digest(raw[a:b]) for a, b in zip(at, ends, strict=True)])
                 row = first + text
+                anchor = anchor.view(np.int64)
                 yield pa.record_batch(
                     {
-                        "anchor": anchor.view(np.int64),
+                        "anchor": anchor,
                         "c1": c1,
                         "c2": c2,
                         "doc_id": doc.take(pa.array(row)),
@@ -135,6 +152,7 @@ def _segment_rows(length: int, gram: int):
                         "start": start + low,
                         "count": count,
                     }
+                    | _copies(anchor, c1, c2)
                 )
 
     return task
@@ -162,6 +180,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = (a == following[0]) & (c1 == following[1]) & (c2 == following[2])
         if ahead is None:
             more[-1] = False
+        more |= rows["copied"].to_numpy()
         whole = ~new_content | more
         # Contents after an anchor's first one, and the first one that they call for.
         later = np.flatnonzero(new_content & ~new_anchor)
@@ -219,10 +238,31 @@ _FOUND_ARROW = pa.schema(
 )
 
 
-def _streamed(rows: DataFrame) -> DataFrame:
-    """Step 2 over segments: one shuffle by anchor, sorted, read as a stream."""
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Step 2 over segments: one shuffle by anchor, sorted, read as a stream.
+
+    The segments are written first: which of equal ones is settled in its slice is
+    then decided once, also if a lost task sees its rows in other slices.
+    """
+    rows = _written(spark, rows, "segments")
     order = ("anchor", "c1", "c2")
-    return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_repeats, _FOUND)
+    found = (
+        rows.where("not settled")
+        .drop("settled")
+        .repartition("anchor")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_repeats, _FOUND)
+    )
+    settled = rows.where("settled").select(
+        F.lit(True).alias("whole"), "anchor", *_ROW, "start", "count", F.lit(True).alias("several")
+    )
+    return _written(spark, found, "repeats").unionByName(settled)
 
 
 def repeated_spans(
@@ -235,10 +275,7 @@ def repeated_spans(
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``(doc_id, uid, low, high)`` byte spans, overlapping, of ``rows(doc_id, uid, text)``."""
-    folder = new_folder(spark, "segments")
-    found = rows.mapInArrow(_segment_rows(length, gram), _SEGMENTS)
-    _streamed(found).write.parquet(folder)
-    found = spark.read.parquet(folder)
+    found = _streamed(spark, rows.mapInArrow(_segment_rows(length, gram), _SEGMENTS))
     spans = found.where("whole").select(
         *_ROW, F.col("start").alias("low"), (F.col("start") + F.col("count") + length - 1).alias("high")
     )
@@ -262,9 +299,7 @@ def repeated_spans(
             F.substring(F.col("raw"), (F.col("s.start") + 1).cast("int"), (F.col("s.count") + length - 1).cast("int")).alias("piece"),
         )
     )
-    folder = new_folder(spark, "variants")
-    pieces.write.parquet(folder)
-    pieces = spark.read.parquet(folder)
+    pieces = _written(spark, pieces, "variants")
 
     crowded = pieces.groupBy("anchor").count().where(F.col("count") > most_variants).select("anchor")
     few = pieces.join(crowded, "anchor", "left_anti")
@@ -274,7 +309,7 @@ def repeated_spans(
     bucketed = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     by_array = bucketed.groupBy("bucket").applyInArrow(_bucket_spans(length), _SPANS)
 
-    one_by_one = _streamed(many.mapInArrow(_string_rows(length), _SEGMENTS)).where("whole")
+    one_by_one = _streamed(spark, many.mapInArrow(_string_rows(length), _SEGMENTS)).where("whole")
     by_string = one_by_one.select(
         *_ROW, F.col("start").alias("low"), (F.col("start") + length).alias("high")
     )
@@ -335,6 +370,7 @@ def _string_rows(length: int):
                         "start": pa.array(start, pa.int64()),
                         "count": pa.array(np.ones(len(row), np.int64)),
                     }
+                    | _copies(c1, c1, c2)
                 )
 
     return task

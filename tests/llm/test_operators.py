@@ -121,6 +121,15 @@ def test_repeats_match_brute_force(spark, most_variants):
     assert [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in got] == sorted(want, key=repr)
 
 
+def test_of_equal_segments_one_is_sent():
+    anchor, c1, c2 = (np.array(x) for x in ([7, 7, 7, 9, 7, 7], [1, 1, 2, 1, 1, 2], [5, 5, 5, 5, 5, 6]))
+    found = substring_repeats._copies(anchor, c1, c2)
+    assert found["copied"].tolist() == [True, False, False, False, False, False]
+    assert found["settled"].tolist() == [False, True, False, False, True, False]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in substring_repeats._copies(none, none, none).values()] == [0, 0]
+
+
 def test_repeats_empty_table(spark):
     assert substring_repeats.remove_repeats(spark, docs(spark, [])).count() == 0
 

@@ -334,15 +334,32 @@ def task_target_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MartTable(spark, root, ITEMS).read().drop("updated_at")
 
 
-@query("reset_target", f"SELECT * FROM ({_ORDERS_SQL}) WHERE false")
+@query("reset_target", _ORDERS_SQL)
 def reset_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset takes the checkpoint with it: the next run loads everything again."""
     root = new_folder(spark, "query")
-    run_job(spark, _orders_job(spark, sf_dir), root)
+    job = _orders_job(spark, sf_dir)
+    run_job(spark, job, root)
     table = MartTable(spark, root, ORDERS)
     table.reset()
+    run_job(spark, job, root)
     return table.read()
 
 
+@query("inc_empty_step", f"{_ORDERS_SQL} WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
+def inc_empty_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose step drops every row still advances: the next one reads the rest."""
+    register_folder(spark, sf_dir, ["orders"])
+    root = new_folder(spark, "query")
+    nothing = Step(lambda rows: rows.where("o_totalprice < 0"))
+    for text, steps in (
+        ("SELECT * FROM orders WHERE o_orderdate < TIMESTAMP_NTZ '1996-01-01'", (nothing,)),
+        ("SELECT * FROM orders", ()),
+    ):
+        run_job(spark, JobSpec("orders", text, ORDERS, "incremental", BY_DATE, steps=steps), root)
+    return MartTable(spark, root, ORDERS).read()
+
+
 @query(
     "stream_upsert",
     """SELECT user_id, event_id, ts, event_type, value FROM (

@@ -211,6 +211,15 @@ def test_cursor_columns_are_checked_first(spark, root):
     assert run.status == "FAILED" and "changed" in run.error_message
 
 
+def test_a_target_that_cannot_be_made_is_a_failed_run(spark, root):
+    source(spark, ten())
+    broken = TargetSpec("items", ("other",), "item_id INT, title STRING")
+    with pytest.raises(ValueError, match="other"):
+        run_job(spark, JobSpec("items", "SELECT 1 AS item_id, 'x' AS title", broken), root)
+    run = RunHistory(spark, root).latest("items").first()
+    assert run.status == "FAILED" and "other" in run.error_message
+
+
 def test_changed_cursor_type_is_an_error(spark, root):
     query = source(spark, ten())
     run_job(spark, incremental(query), root)

@@ -1,8 +1,8 @@
 """Substring deduplication by line hashing.
 
 A unit is a line. Its normal form is lower case with ASCII blanks joined and trimmed;
-units of fewer than ``LEAST_WORDS`` words are left alone. Of equal units in the whole
-table the first by (doc_id, position) stays, all others are removed with their line end,
+units of fewer than ``LEAST_WORDS`` words are left alone. ``drop_repeated_sentences``
+takes sentences inside lines instead, of any length. Of equal units in the whole table the first by (doc_id, position) stays, all others are removed with their line end,
 and the removed spans keep their byte offsets in the input.
 
 Units travel as 128-bit digests and places. The first place of each digest comes from
@@ -17,7 +17,7 @@ empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,38 +31,70 @@ LEAST_WORDS = 5
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# A sentence ends behind its mark, closing quotes and blanks; CJK marks need no blank.
+_SENTENCE_END = re.compile(
+    r"(?<![.!?\u2026])[.!?\u2026]++[\"')\]\u00BB\u201D\u2019]*+[\x20\x09-\x0D]++"
+    r"|[\u3002\uFF01\uFF1F]+[\u300D\u300F\u201D\u2019]*[\x20\x09-\x0D]*"
+)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, row, low, high = [], [], [], []
-        for i, text in enumerate(batch["text"].to_pylist()):
-            at = 0
-            for line in _LINE.findall(text):
-                size = len(line.encode())
-                words = _WORD.findall(line.lower())
-                if len(words) >= LEAST_WORDS:
-                    digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
-                    row.append(i)
-                    low.append(at)
-                    high.append(at + size)
-                at += size
-        c1, c2 = _two(digests)
-        take = pa.array(row, pa.int64())
-        yield pa.record_batch(
-            {
-                "c1": c1,
-                "c2": c2,
-                "doc_id": batch["doc_id"].take(take),
-                "uid": batch["uid"].take(take),
-                "low": pa.array(low, pa.int64()),
-                "high": pa.array(high, pa.int64()),
-            }
-        )
+def _sentences(text: str) -> list[str]:
+    out = []
+    for line in _LINE.findall(text):
+        at = 0
+        for m in _SENTENCE_END.finditer(line):
+            out.append(line[at : m.end()])
+            at = m.end()
+        if at < len(line):
+            out.append(line[at:])
+    return out
+
+
+def _units(least_words: int, split: Callable[[str], list[str]]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, row, low, high = [], [], [], []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                at = 0
+                for unit in split(text):
+                    size = len(unit.encode())
+                    words = _WORD.findall(unit.lower())
+                    if len(words) >= least_words:
+                        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
+                        row.append(i)
+                        low.append(at)
+                        high.append(at + size)
+                    at += size
+            c1, c2 = _two(digests)
+            take = pa.array(row, pa.int64())
+            yield pa.record_batch(
+                {
+                    "c1": c1,
+                    "c2": c2,
+                    "doc_id": batch["doc_id"].take(take),
+                    "uid": batch["uid"].take(take),
+                    "low": pa.array(low, pa.int64()),
+                    "high": pa.array(high, pa.int64()),
+                }
+            )
+
+    return task
 
 
 def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kept, n_bytes, n_removed, spans)``, one row per row of ``docs``."""
+    return _drop(docs, key, text, _units(LEAST_WORDS, _LINE.findall))
+
+
+def drop_repeated_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``drop_repeated_lines`` with the sentences inside lines as units, however short.
+
+    Equal lines have equal sentences, so whatever goes as a line of any length goes here too.
+    """
+    return _drop(docs, key, text, _units(1, _sentences))
+
+
+def _drop(docs: DataFrame, key: str, text: str, units_of) -> DataFrame:
     ship(docs.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -70,7 +102,9 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
         F.xxhash64(F.col(key), value).alias("uid"),
         value.alias("text"),
     )
-    units = rows.mapInArrow(_units, "c1 long, c2 long, doc_id long, uid long, low long, high long")
+    units = rows.mapInArrow(
+        units_of, "c1 long, c2 long, doc_id long, uid long, low long, high long"
+    )
     place = F.struct("doc_id", "uid", "low")
     first = (
         units.groupBy("c1", "c2")

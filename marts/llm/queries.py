@@ -272,7 +272,16 @@ FROM texts t LEFT JOIN cuts USING (doc_id) LEFT JOIN kept k USING (doc_id)
 
 @query("op8_substring_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+    return _removed(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+@query("op8_sentence_dedup")
+def op8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(line_dedup.drop_repeated_sentences(table(spark, sf_dir, "documents")))
+
+
+def _removed(found: DataFrame) -> DataFrame:
+    return found.select(
         "doc_id",
         "n_bytes",
         "n_removed",

@@ -74,3 +74,38 @@ def test_every_line_equal(spark):
     line = "one two three four five\n"
     got = dict(_got(_frame(spark, [(i, line * 5) for i in range(500)])))
     assert got[0] == line and set(v for k, v in got.items() if k) == {""}
+
+
+def _brute_sentences(rows):
+    """Like ``_brute`` with sentences of any length as units."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        kept = []
+        for line in (text or "").splitlines(keepends=True):
+            for piece in re.sub(r"([.!?][ \t\n]+|。[ \t\n]*)", "\\1\0", line).split("\0"):
+                unit = " ".join(re.findall(r"[^ \t-\r]+", piece.lower()))
+                if not unit or unit not in seen:
+                    kept.append(piece)
+                seen.add(unit)
+        out[doc_id] = "".join(kept)
+    return out
+
+
+def test_sentences_inside_lines(spark):
+    a, b = "A passage of some six words here.", "Another one, that is new!"
+    texts = [f"x y {a} {b}\nand so.\n", f"New start. {a.upper()} {b} New end.\nAND so.\n"]
+    texts += ["吾輩は猫である。名前はまだ無い。\n", "前置き。吾輩は猫である。名前はまだ無い。"]
+    got = line_dedup.drop_repeated_sentences(_frame(spark, enumerate(texts))).collect()
+    kept = {r.doc_id: bytes(r.kept).decode() for r in got}
+    assert kept[1] == f"New start. {a.upper()} New end.\n" and kept[3] == "前置き。"
+    assert (kept[0], kept[2]) == (texts[0], texts[2])
+    row = next(r for r in got if r.doc_id == 3)
+    assert [(s.low, s.high) for s in row.spans] == [(12, len(texts[3].encode()))]
+
+
+def test_sentences_as_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["one two. ", "One  two.\t", "é è! ", "3.14 is it? ", "猫。", "end\n", "\n", " ", "a ", "so. "]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(40)))) for i in range(80)]
+    got = line_dedup.drop_repeated_sentences(_frame(spark, rows).repartition(7)).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == _brute_sentences(rows)

@@ -1,7 +1,8 @@
 """Substring deduplication by line hashing.
 
 A unit is a line. Its normal form is lower case with ASCII blanks joined and trimmed;
-units of fewer than ``LEAST_WORDS`` words are left alone. ``drop_repeated_sentences``
+units of fewer than ``least_words`` words are left alone (``LEAST_WORDS``, as the SQL of
+``op8_substring_dedup`` has it; with 1 every line with a word counts). ``drop_repeated_sentences``
 takes sentences inside lines instead, of any length. Of equal units in the whole table the first by (doc_id, position) stays, all others are removed with their line end,
 and the removed spans keep their byte offsets in the input.
 
@@ -81,9 +82,13 @@ def _units(least_words: int, split: Callable[[str], list[str]]):
     return task
 
 
-def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
+) -> DataFrame:
     """``(doc_id, kept, n_bytes, n_removed, spans)``, one row per row of ``docs``."""
-    return _drop(docs, key, text, _units(LEAST_WORDS, _LINE.findall))
+    if least_words < 1:
+        raise ValueError("least_words must be positive")
+    return _drop(docs, key, text, _units(least_words, _LINE.findall))
 
 
 def drop_repeated_sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,6 +76,12 @@ def test_every_line_equal(spark):
     assert got[0] == line and set(v for k, v in got.items() if k) == {""}
 
 
+def test_short_lines_and_lines_without_blanks_count_on_demand(spark):
+    texts = ["and so.\n\n吾輩は猫である。名前はまだ無い\nend", "x\nAND  so.\n\n吾輩は猫である。名前はまだ無い\n \n"]
+    got = line_dedup.drop_repeated_lines(_frame(spark, enumerate(texts)), least_words=1).collect()
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == {0: texts[0], 1: "x\n\n \n"}
+
+
 def _brute_sentences(rows):
     """Like ``_brute`` with sentences of any length as units."""
     seen, out = set(), {}

@@ -206,6 +206,30 @@ def test_boosted_proposals_learn_and_odd_rows_pass(spark):
     assert pii.find(docs(spark, []), model).count() == 0 and pii.learn(docs(spark, [])) == {}
 
 
+def test_neighbouring_numbers_are_proposed_and_found(spark):
+    two = "7536784127813050 4845168114407329"
+    assert {("card", 0, 16), ("card", 17, 33)} <= set(pii.proposals(two))
+    near = "+1 (826) 555-4081 190.137.223.204"
+    assert ("phone", 0, 17) in pii.proposals(near) and ("ip", 18, 33) in pii.proposals(near)
+    assert not [s for s in pii.proposals("1" * 100_000) if s[0] != "email"]
+    rng = random.Random(6)
+    numbers = ["".join(rng.choices("0123456789", k=16)) for _ in range(4000)]
+    table = docs(spark, [f"card {n} paid" for n in numbers])
+    model = pii.learn(table)
+    assert pii.base_spans(two) == []
+    assert {("card", 0, 16), ("card", 17, 33)} <= set(pii.added_spans(two, [], model))
+
+
+def test_of_overlapping_numbers_the_fewest_stay():
+    near = "+1 (826) 555-4081 190.137.223.204"
+    scored = [(s, 0.9) for s in pii.proposals(near)]
+    assert pii._fewest(near, pii.base_spans(near), scored) == [("phone", 0, 17)]
+    scored = [(s, 0.95 if s == ("phone", 0, 12) else 0.9) for s in pii.proposals(near)]
+    kept = pii._fewest(near, pii.base_spans(near), scored)
+    assert ("phone", 0, 12) in kept
+    assert all(any(a <= i < b for _, a, b in kept) for i in (13, 14, 15, 16))
+
+
 # -- op4
 
 

@@ -21,7 +21,9 @@ exact.
   pivot and is compared to all others first. What is not connected then is divided by
   pivots: Voronoi cells in the Hamming distance of parity sketches (a metric that never
   exceeds the sets' symmetric difference), documents within the triangle inequality's
-  window of a border belong to both sides, and large cells are divided again.
+  window of a border belong to both sides, and large cells are divided again. A region of
+  more than ``BLOCK`` documents is dealt out to tasks first: blocks of those outside its largest
+  component against blocks of all, each task with cells of its own.
 
 Candidates are pruned by the sketches (a sound bound) and verified on the texts' whole
 shingle sets. Equal sets are one row from the start.
@@ -61,6 +63,8 @@ BITS = 22
 SKETCH_BITS = 8192
 CELL = 512
 CELL_PIVOTS = 8
+#: Rows of a region that one task takes; larger regions are dealt out, none is left out.
+BLOCK = 16_384
 
 
 def overlap_needed(a, b):
@@ -395,16 +399,10 @@ class _Join:
             dense.join(comp.withColumnRenamed("id", "sid"), "sid", "left")
             .select("h", "sid", F.coalesce("component", "sid").alias("comp"))
         )
-        several = (
-            open_rows.groupBy("h")
-            .agg((F.min("comp") != F.max("comp")).alias("open"))
-            .where("open")
-            .select("h")
-        )
         # All large regions of a document: a pair is given out by its least common one.
         homes = dense.groupBy("sid").agg(F.collect_list("h").alias("homes"))
-        region = open_rows.join(several, "h").join(sketches, "sid").join(homes, "sid")
-        rest = region.groupBy("h").applyInArrow(_cell_pairs, "a long, b long")
+        region = _blocks(open_rows).join(sketches, "sid").join(homes, "sid")
+        rest = region.groupBy("h", "few", "many").applyInArrow(_cell_pairs, "a long, b long").distinct()
         rest = self.written(rest, "cells")
         if rest.isEmpty():
             return links
@@ -423,12 +421,49 @@ def _marked(large: DataFrame, later: BitFilter) -> DataFrame:
     return large.mapInArrow(task, "h long, sid long, marked boolean")
 
 
+#: Places of a row in a task of a region: the region is whole, or it was dealt out and the
+#: row is one of the open ones to compare, one of the largest component, or another open one.
+_WHOLE, _OPEN, _LARGEST, _OTHER = range(4)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows ``(h, sid, comp)`` of regions that are not connected, dealt out to tasks.
+
+    A region of up to ``BLOCK`` rows is one task. In others nothing is open inside the
+    largest component: blocks of the rows outside it meet blocks of all rows.
+    """
+    sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
+    regions = (
+        sizes.groupBy("h")
+        .agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
+        .where("all > top.size")
+        .select(
+            "h",
+            F.col("top.comp").alias("largest"),
+            F.ceil(F.col("all") / BLOCK).cast("int").alias("n_many"),
+            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("n_few"),
+        )
+    )
+    many = F.pmod(F.xxhash64("sid"), F.col("n_many")).cast("int")
+    few = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("n_few")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = rows.join(regions, "h")
+    outside = F.col("comp") != F.col("largest")
+    place = F.when(F.col("n_many") == 1, _WHOLE).when(outside, _OTHER).otherwise(_LARGEST)
+    # Each row once for every block of open rows; open rows also for every block of all.
+    as_many = dealt.select("h", "sid", "comp", place.alias("place"), every("n_few").alias("few"), many.alias("many"))
+    as_few = dealt.where(outside & (F.col("n_many") > 1)).select(
+        "h", "sid", "comp", F.lit(_OPEN).alias("place"), few.alias("few"), every("n_many").alias("many")
+    )
+    return as_many.unionByName(as_few)
+
+
 _CELL_WORDS = 16
 
 
 def _cell_pairs(region: pa.Table) -> pa.Table:
-    """Open pairs of a region: not connected, and not ruled out by size or sketch."""
-    sid, comp, n = (region[c].to_numpy() for c in ("sid", "comp", "n"))
+    """Open pairs of a region's task: not connected, and not ruled out by size or sketch."""
+    sid, comp, n, place = (region[c].to_numpy() for c in ("sid", "comp", "n", "place"))
     h = region["h"][0].as_py()
     homes = [set(x) for x in region["homes"].to_pylist()]
     bits = np.zeros((len(sid), _CELL_WORDS), dtype=np.uint64)
@@ -445,6 +480,14 @@ def _cell_pairs(region: pa.Table) -> pa.Table:
         if 2 * width <= _CELL_WORDS:
             view ^= bits[rows, width : 2 * width]
         for i, j in metric_pairs(view, n[rows], comp[rows]):
+            # Two open rows meet again the other way round, pairs of one place in another task.
+            first, second = sorted((rows[i], rows[j]), key=lambda x: place[x])
+            if place[first] == _WHOLE:
+                pass
+            elif place[first] != _OPEN or place[second] == _OPEN:
+                continue
+            elif place[second] == _OTHER and sid[first] > sid[second]:
+                continue
             if min(homes[rows[i]] & homes[rows[j]]) == h:
                 a, b = sid[rows[i]], sid[rows[j]]
                 out.add((min(a, b), max(a, b)))

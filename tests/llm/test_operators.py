@@ -369,6 +369,35 @@ def test_jaccard_empty_and_kept_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
 
 
+@pytest.mark.parametrize("sizes", [(1, 60), (20, 25, 23)])
+def test_regions_are_dealt_out_to_tasks(spark, monkeypatch, sizes):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    comps = [c for c, n in enumerate(sizes) for _ in range(n)]
+    given = [(7, i, c) for i, c in enumerate(comps)] + [(9, 100, 1), (9, 101, 2), (8, 102, 1), (8, 103, 1)]
+    dealt = jaccard_join._blocks(spark.createDataFrame(given, "h long, sid long, comp long")).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.h, r.few, r.many), []).append(r)
+    assert {k[0] for k in tasks} == {7, 9}
+    assert max(len({r.sid for r in x}) for x in tasks.values()) < len(comps) // 2
+    many = [r for r in dealt if r.h == 7 and r.place != jaccard_join._OPEN]
+    assert len(many) == len(comps) * -(-(len(comps) - max(sizes)) // 8)
+    got = []
+    for key, x in tasks.items():
+        columns = {c: [getattr(r, c) for r in x] for c in ("h", "sid", "comp", "place")}
+        same = {"n": [60] * len(x), "homes": [[r.h] for r in x], "sketch": [bytes(1024)] * len(x)}
+        pairs = jaccard_join._cell_pairs(pa.table(columns | same)).to_pylist()
+        got += [(p["a"], p["b"]) for p in pairs]
+    want = {(i, j) for i, j in itertools.combinations(range(len(comps)), 2) if comps[i] != comps[j]}
+    assert len(got) == len(set(got)) and set(got) == want | {(100, 101)}
+
+
+@pytest.mark.parametrize("small_region", [64, 3])
+def test_jaccard_components_with_dealt_regions(spark, monkeypatch, small_region):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    test_jaccard_components_match_brute_force(spark, monkeypatch, small_region)
+
+
 def test_metric_cells_lose_no_pair():
     rng = np.random.default_rng(9)
     centre = rng.integers(0, 2**63, size=(6, 4), dtype=np.uint64)

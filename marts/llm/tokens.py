@@ -4,7 +4,7 @@ The vocabulary's rule is: NFC, blanks joined, lower case, split into contraction
 letter runs, single digits and other runs; then BPE inside each piece. Texts of ASCII
 and Latin-1 letters are split on their bytes in NumPy; pieces are looked up in a
 per-worker memory of known pieces and new ones go to the tokenizer's own model. Any
-other text goes through the tokenizer whole. Both ways give the tokenizer's ids.
+other text, also one with the string of an added token, goes through the tokenizer whole. Both ways give the tokenizer's ids.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # Their strings in a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [t.content.lower().encode() for t in added]
         self._model = self._tokenizer.model
         self._alphabet = str.maketrans(_byte_letters())
         self._known: dict[int, bytes] = {}
@@ -84,6 +84,13 @@ class WordTokenizer:
         kind[tail & ((data == 0x97) | (data == 0xB7))] = _FOREIGN
         data[tail & (data <= 0x9E)] += 0x20
         foreign = np.add.reduceat(np.append(kind == _FOREIGN, False), offsets[:-1]) > 0
+        # Added tokens are found before the split: their texts go through whole, too.
+        raw = data.tobytes()
+        for token in self._added:
+            at = raw.find(token)
+            while at >= 0:
+                foreign[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
         foreign[np.diff(offsets) == 0] = False
         starts, ends, bounds = _pieces(data, kind, offsets)
         ids, lengths = self._ids(data, starts, ends)

@@ -546,6 +546,18 @@ def test_packing_is_gapless(spark):
     assert packing.pack(spark, docs(spark, []), path).count() == 0
 
 
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    texts = ["", "a<|endoftext|>b", "x", "", "A <|startoftext|>", "a<|ENDOFTEXT|>b", "<|endof", "text|> É", None, "日<|endoftext|>"]
+    loaded = Tokenizer.from_file(path)
+    want = [loaded.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [320, 49407, 321]
+    got = WordTokenizer(path).encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == want
+
+
 def test_hilbert_neighbours_touch():
     for d, bits in ((2, 3), (3, 2), (4, 4)):
         points = np.array(list(itertools.product(range(1 << bits), repeat=d)))

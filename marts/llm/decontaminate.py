@@ -17,7 +17,7 @@ with its own pass over the documents; documents never leave their task. One bloc
 holds all of a usual benchmark.
 
 Defined cases: null text has no words; an item without words is in no document; equal
-items (id and text) count once; repeated documents are each marked; empty tables give
+items (id and text) count once, one with a null id is given back with a null id; repeated documents are each marked; empty tables give
 no marks. Other columns pass through; a column named ``leaks`` is replaced.
 """
 
@@ -126,7 +126,11 @@ class Sketches:
                 shared = len(self.exact[i] & own[key])
                 if shared >= needed(len(self.exact[i]), self.containment):
                     out[first + t].append((self.items[i][0], len(self.exact[i]), shared))
-        return [sorted(x) for x in out]
+        return [sorted(x, key=_nulls_first) for x in out]
+
+
+def _nulls_first(row: tuple) -> tuple:
+    return (row[0] is not None, row[0] or 0, *row[1:])
 
 
 def mark_leaks(
@@ -152,7 +156,7 @@ def mark_leaks(
     docs = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAKS))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        rows = sorted((r.id, r.text) for r in block.where("id is not null").collect())
+        rows = sorted(((r.id, r.text) for r in block.collect()), key=_nulls_first)
         docs = docs.mapInArrow(_marker(Sketches(rows, containment, size), text), docs.schema)
     return docs
 

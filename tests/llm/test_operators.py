@@ -305,6 +305,14 @@ def test_leaks_match_brute_force(spark, block_bytes):
     assert decontaminate.mark_leaks(docs(spark, ["a"]), df.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_items_without_an_id_are_compared_too(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(None, text), (3, text), (None, None)], "item_id long, text string")
+    got = decontaminate.mark_leaks(docs(spark, [f"a b {text} c", "clean words only"]), items)
+    found = {r.doc_id: [x.item_id for x in r.leaks] for r in got.collect()}
+    assert found == {0: [None, 3], 1: []}
+
+
 def test_decontamination_query(spark, small):
     texts = [(r.doc_id, r.text) for r in queries.table(spark, small, "documents").collect()]
     items = [(r.item_id, r.text) for r in queries.table(spark, small, "benchmark").collect()]

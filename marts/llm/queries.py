@@ -17,6 +17,7 @@ from marts.llm import (
     line_dedup,
     packing,
     pii,
+    prefix_trie,
     substring_repeats,
     warc,
 )
@@ -327,3 +328,59 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(spark, docs, vocabulary()).drop("ids")
+
+
+# -- op13: conversation prefix trie -----------------------------------------------
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(n, step, v) AS (
+  SELECT n, 0, n FROM range(256) AS r(n)
+  UNION ALL SELECT n, step + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM bits WHERE step < 8
+), crc(conv_id, pos, v) AS (
+  SELECT DISTINCT conv_id, 1, 4294967295::BIGINT FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c.conv_id, c.pos + 1, xor(c.v >> 8, b.v)
+  FROM crc c JOIN bits b ON b.step = 8 AND b.n = xor(c.v & 255, ascii(substr(c.conv_id::VARCHAR, c.pos, 1)))
+  WHERE c.pos <= length(c.conv_id::VARCHAR)
+), turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(
+    coalesce(list_slice(b.turns, 1, h.h), []), list_slice(o.turns, h.h + 1, len(o.turns))) AS p
+  FROM own o JOIN (SELECT conv_id, xor(v, 4294967295) % 6 AS h FROM crc
+    WHERE pos = length(conv_id::VARCHAR) + 1) h USING (conv_id)
+  LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), members AS (
+  SELECT conv_id, len(p) AS size, d, list_slice(p, 1, d) AS p
+  FROM (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM members GROUP BY p, d
+), children AS (
+  SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT list_slice(p, 1, d) AS p, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT n.p, unnest(range(n.depth + 1)) AS d, c.n IS NULL AS leaf,
+      CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.p[n.depth].text) ELSE 0 END AS saved
+    FROM nodes n LEFT JOIN children c USING (p))
+  GROUP BY 1
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (p) LEFT JOIN children c USING (p)
+LEFT JOIN nodes u ON n.depth > 0 AND u.p = list_slice(n.p, 1, n.depth - 1)
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rebuilt = prefix_trie.with_shared_heads(sequences, 100, shared, most=5)
+    return prefix_trie.trie_nodes(spark, rebuilt)

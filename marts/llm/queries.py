@@ -16,6 +16,7 @@ from marts.llm import (
     language_id,
     line_dedup,
     packing,
+    phrases,
     pii,
     prefix_trie,
     substring_repeats,
@@ -384,3 +385,49 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     rebuilt = prefix_trie.with_shared_heads(sequences, 100, shared, most=5)
     return prefix_trie.trie_nodes(spark, rebuilt)
+
+
+# -- op11: phrase collocations ----------------------------------------------------
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang
+), found AS (
+  SELECT lang, length, phrase, count(*) AS f FROM (
+    SELECT lang, length, array_to_string(list_slice(w, i, i + length - 1), ' ') AS phrase
+    FROM (SELECT lang, w, length, unnest(range(1, len(w) - length + 2)) AS i
+      FROM split, (VALUES (1), (2), (3), (4)) AS v(length) WHERE len(w) >= length))
+  GROUP BY ALL HAVING count(*) >= 30
+), worded AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM found
+), longer AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, w, f, length, m, unnest(range(1, length - m + 2)) AS i
+    FROM worded, (VALUES (2), (3)) AS v(m) WHERE m < length)
+  GROUP BY 1, 2
+), kept AS (
+  SELECT w.* FROM worded w LEFT JOIN longer x USING (lang, phrase)
+  WHERE w.length > 1 AND (x.longer IS NULL OR 100::HUGEINT * x.longer < 80::HUGEINT * w.f)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, p.f AS l, q.f AS r, (2000000::HUGEINT * c.f) // (p.f + q.f) AS score
+  FROM (SELECT *, unnest(range(1, length)) AS k FROM kept) c
+  JOIN found p ON p.lang = c.lang AND p.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN found q ON q.lang = c.lang AND q.phrase = array_to_string(list_slice(c.w, k + 1, c.length), ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+  phrase, a, l, r, n, score::BIGINT AS score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_phrase_mining", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))

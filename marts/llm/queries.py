@@ -20,6 +20,7 @@ from marts.llm import (
     pii,
     prefix_trie,
     substring_repeats,
+    toxicity,
     warc,
 )
 from marts.session import new_folder
@@ -331,6 +332,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, vocabulary()).drop("ids")
 
 
+# -- op12: toxicity ---------------------------------------------------------------
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.learn(docs.where(~held).join(labels, "doc_id"))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("sentences"),
+    )
+
+
 # -- op13: conversation prefix trie -----------------------------------------------
 
 OP13_SQL = r"""

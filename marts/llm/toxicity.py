@@ -11,14 +11,14 @@ five and six bytes, and the pair with the word before it in the sentence.
 
 Fit: on a bounded sample of the labelled rows (``SAMPLE_ROWS`` rows, taken by a hash
 of id and text; texts over ``SAMPLE_TEXT_BYTES`` are not learnt from), on the driver. The
-``FEATURES`` features whose presence tells most about the label (log-likelihood ratio,
-counted by document) are kept. Scoring is one pass over all rows and whole texts, with
+``FEATURES`` features whose presence speaks most for the label (log-likelihood ratio,
+counted by document) are kept; noisy-or adds up evidence, so what speaks against it is not. Scoring is one pass over all rows and whole texts, with
 no shuffle; the model sent along has at most ``FEATURES`` weights.
 
 Defined cases: null and empty texts have no sentence and score the noisy-or of none, 0;
 rows without a label are not learnt from; repeated rows are scored each; without any
-labelled row, or with one label only, every score is 0 or that label's (0 or 1 where
-there is text); an empty table gives an empty result. Other columns are ignored.
+labelled row, or with one label only, every score is 0; an empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SAMPLE_ROWS = 8_000
 SAMPLE_TEXT_BYTES = 32 << 10
 FEATURES = 4096
 LEAST_DOCUMENTS = 3
+#: Log-likelihood ratio that a feature needs; chance alone passes it once in some 1 500.
+LEAST_GAIN = 5.0
 STEPS = 300
 RATE = 0.2
 RIDGE = 3e-4
@@ -157,9 +159,9 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     everywhere = np.bincount(at, minlength=len(names))
     toxic = np.bincount(at, labels[doc], len(names))
     gain = _told(toxic, everywhere, positive, total)
-    gain[everywhere < LEAST_DOCUMENTS] = 0
+    gain[(everywhere < LEAST_DOCUMENTS) | (toxic * total <= everywhere * positive)] = 0
     best = np.argsort(-gain, kind="stable")[:FEATURES]
-    features = names[np.sort(best[gain[best] > 0])]
+    features = names[np.sort(best[gain[best] >= LEAST_GAIN])]
     if not len(features):
         return none
 

@@ -45,7 +45,9 @@ TOP = 2000
 #: Size of the bit table sent to tasks, as a power of two: 4 MB.
 FILTER_BITS = 25
 #: Occurrences that a task gathers before it counts them.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
+#: Rows sent from a task at once.
+SENT = 1 << 16
 #: Parts of a language that are ranked by themselves first.
 RANK_PARTS = 64
 
@@ -153,13 +155,18 @@ def _local_counts(shards: int, lengths: tuple[int, ...], shipped, log2: int):
                         at = at[known[at + j]]
                 gathered.add(part.hashes(at, length, salt), part.row[at], shard, langs)
             if gathered.size >= GATHERED:
-                yield gathered.counted()
+                yield from _sent(gathered.counted())
         if gathered.size:
-            yield gathered.counted()
+            yield from _sent(gathered.counted())
 
     return task
 
 
+def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SENT):
+        yield batch.slice(at, SENT)
+
+
 class _Gathered:
     """Occurrences in a task until they are counted."""
 
@@ -217,10 +224,10 @@ def _global_counts(longest: int, shipped, log2: int):
                 kept.append((g[one], count, langs.take(pa.array(part.row[at])), length, _texts(part.text, low, high)))
                 size += len(one)
             if size >= GATHERED // 4:
-                yield _joined(kept)
+                yield from _sent(_joined(kept))
                 kept, size = [], 0
         if kept:
-            yield _joined(kept)
+            yield from _sent(_joined(kept))
 
     return task
 

@@ -12,8 +12,9 @@ five and six bytes, and the pair with the word before it in the sentence.
 Fit: on a bounded sample of the labelled rows (``SAMPLE_ROWS`` rows, taken by a hash
 of id and text; texts over ``SAMPLE_TEXT_BYTES`` are not learnt from), on the driver. The
 ``FEATURES`` features whose presence speaks most for the label (log-likelihood ratio,
-counted by document) are kept; noisy-or adds up evidence, so what speaks against it is not. Scoring is one pass over all rows and whole texts, with
-no shuffle; the model sent along has at most ``FEATURES`` weights.
+counted by document) are kept; noisy-or adds up evidence, so what speaks against it is
+not. Scoring is one pass over all rows and whole texts, with no shuffle; the model sent
+along has at most ``FEATURES`` weights.
 
 Defined cases: null and empty texts have no sentence and score the noisy-or of none, 0;
 rows without a label are not learnt from; repeated rows are scored each; without any

@@ -45,7 +45,9 @@ TOP = 2000
 #: Size of the bit table sent to tasks, as a power of two: 4 MB.
 FILTER_BITS = 25
 #: Occurrences that a task gathers before it counts them.
-GATHERED = 1_000_000
+GATHERED = 600_000
+#: Rows and bytes of text that are worked on at once.
+ROWS, BYTES = 1_000, 1 << 19
 #: Rows sent from a task at once.
 SENT = 1 << 16
 #: Parts of a language that are ranked by themselves first.
@@ -120,13 +122,13 @@ def _shard_key(shards: int) -> Column:
 
 def _slices(batches: Iterator[pa.RecordBatch]):
     """Words of slices of rows, with language salt and shard of each row."""
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         langs = batch["lang"].dictionary_encode()
         names = langs.dictionary.to_pylist()
         code = langs.indices.to_numpy(zero_copy_only=False)
         salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], dtype=np.uint64)[code]
         shard = batch["shard"].to_numpy()
-        for first, values, offsets in text_slices(batch["text"]):
+        for first, values, offsets in text_slices(batch["text"], BYTES):
             last = first + len(offsets) - 1
             part = _Slice(values, offsets)
             if part.n:

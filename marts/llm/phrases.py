@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +38,8 @@ from marts.llm.workers import ship
 from marts.session import new_folder
 
 SHARDS = 8
+#: Bits of a cell's number that hold its shard; the others hold its language's hash.
+SHARD_BITS = 8
 LEAST = 30
 LONGEST = 4
 TOP = 2000
@@ -95,8 +96,13 @@ class _Slice:
         return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(40)) ^ salts[self.row[at]])
 
 
-def _shard_salts(shards: int) -> np.ndarray:
-    return mix(np.arange(1, shards + 1, dtype=np.uint64))
+def _mixed(cell: np.ndarray) -> np.ndarray:
+    """Spreads cells over the high bits; in :func:`_cell_key` the same in Spark's terms."""
+    return cell ^ (cell << np.uint64(SHARD_BITS + 32))
+
+
+def _cell_key() -> Column:
+    return F.col("g").bitwiseXOR(F.col("cell")).bitwiseXOR(F.shiftleft("cell", SHARD_BITS + 32))
 
 
 def _has(bits: np.ndarray, keys: np.ndarray, log2: int) -> np.ndarray:
@@ -115,93 +121,63 @@ def _bit_table(keys: DataFrame, log2: int) -> np.ndarray:
     return out
 
 
-def _shard_key(shards: int) -> Column:
-    salts = F.array(*(F.lit(int(s)) for s in _shard_salts(shards).view(np.int64)))
-    return F.col("g").bitwiseXOR(F.element_at(salts, F.col("shard") + 1))
-
-
 def _slices(batches: Iterator[pa.RecordBatch]):
-    """Words of slices of rows, with language salt and shard of each row."""
+    """Words of slices of rows, with the cell (language and shard) of each row."""
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-        langs = batch["lang"].dictionary_encode()
-        names = langs.dictionary.to_pylist()
-        code = langs.indices.to_numpy(zero_copy_only=False)
-        salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], dtype=np.uint64)[code]
-        shard = batch["shard"].to_numpy()
+        cell = batch["cell"].to_numpy().view(np.uint64)
         for first, values, offsets in text_slices(batch["text"], BYTES):
-            last = first + len(offsets) - 1
             part = _Slice(values, offsets)
             if part.n:
-                yield part, salt[first:last], shard[first:last], langs[first:last]
+                yield part, cell[first : first + len(offsets) - 1]
+
 
+def _language(cell: np.ndarray) -> np.ndarray:
+    return cell >> np.uint64(SHARD_BITS)
 
-def _local_counts(shards: int, lengths: tuple[int, ...], shipped, log2: int):
-    """Counts of phrases by shard; ``shipped``: bits of the locally frequent parts (words for
+
+def _local_counts(lengths: tuple[int, ...], shipped, log2: int):
+    """Counts of phrases by cell; ``shipped``: bits of the locally frequent parts (words for
     pairs, pairs for longer phrases), none for words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = _shard_salts(shards)
         bits = shipped.value if shipped is not None else None
-        gathered = _Gathered()
-        for part, salt, shard, langs in _slices(batches):
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        for part, cell in _slices(batches):
+            salt = _language(cell)
             if bits is not None:
-                n = min(lengths) - 1 if min(lengths) < 3 else 2
+                n = 1 if lengths == (2,) else 2
                 known = np.zeros(part.n, dtype=bool)
                 at = part.runs(n)
-                g = part.hashes(at, n, salt) ^ salts[shard[part.row[at]]]
-                known[at[_has(bits, g, log2)]] = True
+                g = part.hashes(at, n, salt)
+                known[at[_has(bits, g ^ _mixed(cell[part.row[at]]), log2)]] = True
             for length in lengths:
                 at = part.runs(length)
                 if bits is not None:
                     for j in range(length - n + 1):
                         at = at[known[at + j]]
-                gathered.add(part.hashes(at, length, salt), part.row[at], shard, langs)
-            if gathered.size >= GATHERED:
-                yield from _sent(gathered.counted())
-        if gathered.size:
-            yield from _sent(gathered.counted())
+                gathered.append((part.hashes(at, length, salt), cell[part.row[at]]))
+            if sum(len(x[0]) for x in gathered) >= GATHERED:
+                yield from _sent(_counted(gathered))
+                gathered = []
+        if gathered:
+            yield from _sent(_counted(gathered))
 
     return task
 
 
+def _counted(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    g, cell = (np.concatenate(x) for x in zip(*gathered, strict=True))
+    # The language is in the hash already; the cell keeps equal phrases of two shards apart.
+    _, at, count = np.unique(g ^ mix(cell), return_index=True, return_counts=True)
+    columns = {"cell": cell[at].view(np.int64), "g": g[at].view(np.int64), "c": count}
+    return pa.record_batch({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
 def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, SENT):
         yield batch.slice(at, SENT)
 
 
-class _Gathered:
-    """Occurrences in a task until they are counted."""
-
-    def __init__(self) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        self.g, self.shard, self.lang, self.names, self.size = [], [], [], {}, 0
-
-    def add(self, g: np.ndarray, row: np.ndarray, shard: np.ndarray, langs: pa.DictionaryArray) -> None:
-        own = np.array([self.names.setdefault(x, len(self.names)) for x in langs.dictionary.to_pylist()])
-        self.g.append(g)
-        self.shard.append(shard[row])
-        self.lang.append(own[langs.indices.to_numpy(zero_copy_only=False)][row].astype(np.int32))
-        self.size += len(g)
-
-    def counted(self) -> pa.RecordBatch:
-        g, shard, lang = (np.concatenate(x) for x in (self.g, self.shard, self.lang))
-        names = pa.array(list(self.names), pa.string())
-        # The language is in the hash already; the shard's salt keeps equal phrases of two apart.
-        key = g ^ mix(shard.astype(np.uint64) + np.uint64(1))
-        _, at, count = np.unique(key, return_index=True, return_counts=True)
-        self._clear()
-        return pa.record_batch(
-            {
-                "shard": pa.array(shard[at], pa.int32()),
-                "lang": names.take(pa.array(lang[at])),
-                "g": pa.array(g[at].view(np.int64)),
-                "c": pa.array(count, pa.int64()),
-            }
-        )
-
-
 def _global_counts(longest: int, shipped, log2: int):
     """Counts of the candidates in ``shipped``'s bits, by their text."""
 
@@ -209,7 +185,8 @@ def _global_counts(longest: int, shipped, log2: int):
         bits = shipped.value
         kept: list[tuple] = []
         size = 0
-        for part, salt, _, langs in _slices(batches):
+        for part, cell in _slices(batches):
+            salt = _language(cell)
             known = np.ones(part.n, dtype=bool)  # starts of candidates one word shorter
             for length in range(1, longest + 1):
                 at = part.runs(length)
@@ -223,7 +200,7 @@ def _global_counts(longest: int, shipped, log2: int):
                 _, one, count = np.unique(g, return_index=True, return_counts=True)
                 at = at[one]
                 low, high = part.start[at], part.end[at + length - 1]
-                kept.append((g[one], count, langs.take(pa.array(part.row[at])), length, _texts(part.text, low, high)))
+                kept.append((g[one], count, salt[part.row[at]], length, _texts(part.text, low, high)))
                 size += len(one)
             if size >= GATHERED // 4:
                 yield from _sent(_joined(kept))
@@ -250,13 +227,13 @@ def _joined(kept: list[tuple]) -> pa.RecordBatch:
     _, one, back = np.unique(g, return_index=True, return_inverse=True)
     total = np.zeros(len(one), dtype=np.int64)
     np.add.at(total, back, count)
-    take = pa.array(one)
+    language = np.concatenate([x[2] for x in kept])
     lengths = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int32) for x in kept])
     return pa.record_batch(
         {
-            "lang": pa.concat_arrays([x[2].cast(pa.string()) for x in kept]).take(take),
+            "language": pa.array(language[one].view(np.int64)),
             "length": pa.array(lengths[one]),
-            "phrase": pa.concat_arrays([x[4] for x in kept]).take(take),
+            "phrase": pa.concat_arrays([x[4] for x in kept]).take(pa.array(one)),
             "c": pa.array(total),
         }
     )
@@ -275,14 +252,13 @@ def mine_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, length, phrase, f)`` of every phrase of one to ``longest`` words that occurs
     ``least`` times, and ``(lang, n)``, the words of each language."""
-    if not (shards > 0 and least > 0 and longest >= 3 and 8 <= filter_bits <= 34):
+    if not (0 < shards <= 1 << SHARD_BITS and least > 0 and longest >= 3 and 8 <= filter_bits <= 34):
         raise ValueError("shards and least must be positive, longest at least 3, filter_bits 8 to 34")
     ship(spark)
-    rows = docs.select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
-        F.pmod(F.xxhash64(F.col(text)), F.lit(shards)).cast("int").alias("shard"),
-        F.col(text).alias("text"),
-    )
+    name = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
+    language = F.shiftrightunsigned(F.xxhash64(name), SHARD_BITS)
+    shard = F.pmod(F.xxhash64(F.col(text)), F.lit(shards))
+    rows = docs.select(F.shiftleft(language, SHARD_BITS).bitwiseOR(shard).alias("cell"), F.col(text).alias("text"))
     send = spark.sparkContext.broadcast
 
     def written(df: DataFrame, name: str) -> DataFrame:
@@ -291,40 +267,42 @@ def mine_phrases(
         return spark.read.parquet(folder)
 
     def counted(lengths: tuple[int, ...], bits) -> DataFrame:
-        task = _local_counts(shards, lengths, bits, filter_bits)
-        counts = rows.mapInArrow(task, "shard int, lang string, g long, c long")
-        return counts.groupBy("shard", "lang", "g").agg(F.sum("c").alias("c"))
+        counts = rows.mapInArrow(_local_counts(lengths, bits, filter_bits), "cell long, g long, c long")
+        return counts.groupBy("cell", "g").agg(F.sum("c").alias("c"))
 
     first = written(counted((1,), None), "words")
-    sizes = first.groupBy("shard", "lang").agg(F.sum("c").alias("own"))
-    totals = written(sizes.groupBy("lang").agg(F.sum("own").alias("n")), "totals")
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    support = written(
-        sizes.join(totals, "lang").select("shard", "lang", "own", "n"), "sizes"
+    sizes = first.groupBy("cell").agg(F.sum("c").alias("own"))
+    sizes = sizes.withColumn("language", F.shiftrightunsigned("cell", SHARD_BITS))
+    names = docs.select(name.alias("lang"), language.alias("language")).distinct()
+    totals = written(
+        sizes.groupBy("language").agg(F.sum("own").alias("n")).join(names, "language"), "totals"
     )
+    support = written(sizes.join(totals, "language").select("cell", "own", "n"), "sizes")
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
 
     def frequent(counts: DataFrame) -> DataFrame:
         """c >= least * own / n, the support lowered to the shard's part."""
         enough = wide("c") * wide("n") >= wide("own") * F.lit(least).cast("decimal(10,0)")
-        return counts.join(support, ["shard", "lang"]).where(enough).select("shard", "g")
+        return counts.join(support, "cell").where(enough).select("cell", "g")
 
     local = frequent(first)
     union = [local.select("g")]
     for lengths in ((2,), tuple(range(3, longest + 1))):
-        bits = send(_bit_table(local.select(_shard_key(shards).alias("k")), filter_bits))
+        bits = send(_bit_table(local.select(_cell_key().alias("k")), filter_bits))
         local = written(frequent(counted(lengths, bits)), f"local-{lengths[0]}")
         bits.unpersist()
         union.append(local.select("g"))
     candidates = union[0].unionAll(union[1]).unionAll(union[2]).select(F.col("g").alias("k"))
     bits = send(_bit_table(candidates, filter_bits))
     found = rows.mapInArrow(
-        _global_counts(longest, bits, filter_bits), "lang string, length int, phrase string, c long"
+        _global_counts(longest, bits, filter_bits), "language long, length int, phrase string, c long"
     )
     # A false hit of the bit table occurs fewer than `least` times, like all that no shard proposed.
-    found = found.groupBy("lang", "length", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    found = found.groupBy("language", "length", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    found = found.join(totals.drop("n"), "language").select("lang", "length", "phrase", "f")
     found = written(found, "found")
     bits.unpersist()
-    return found, totals
+    return found, totals.select("lang", "n")
 
 
 def collocations(

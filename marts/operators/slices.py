@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cursor import Bounds, Cursor, CursorColumns, past, slice_bounds, to_cursor, up_to
 
-# Expected number of distinct cursor pairs brought to the driver per planning
-# step, whatever the backlog holds.
-SAMPLE_PAIRS = 65_536
-# Ranges made per planning step; larger backlogs are cut in two or more levels.
-FAN_OUT = 256
-# Sampled ranges aim below the limit. At 256 sample points per range, going
-# above it would take an error of four standard deviations.
-_FILL = 0.8
+# Ranges that one planning step makes of a range at most; a larger backlog is
+# cut into ranges of ranges, each planned when it is reached.
+FAN_OUT = 1024
+# Cut points per slice, as expected: a gap above the limit is one in e**16.
+POINTS = 16
+# Times as many points where a gap was above the limit all the same.
+FINER = 8
 
 
 @dataclass(frozen=True)
 class Slice:
-    """Rows with ``lo < (key, id) <= hi``; a NULL bound is open. ``rows`` is an
-    estimate where the backlog was sampled."""
+    """The ``rows`` rows with ``lo < (key, id) <= hi``; a NULL bound is open."""
 
     lo: Cursor | None
     hi: Cursor | None
@@ -42,13 +40,16 @@ class Slice:
 def plan_slices(
     df: DataFrame, columns: CursorColumns, max_rows: int, bounds: Bounds | None = None
 ) -> Iterator[Slice]:
-    """Slices of ``df`` in cursor order, each of about ``max_rows`` rows at most
-    (exactly so for a backlog of up to ``SAMPLE_PAIRS`` rows).
+    """Slices of ``df`` in cursor order, none with more than ``max_rows`` rows.
 
     Cuts are ``(key, id)`` pairs, so one timestamp shared by a third of the rows
     is cut by id inside it. Only rows equal in both columns stay together, even
-    above ``max_rows``: a cursor cannot stop between them. Slices are planned
-    lazily, one range at a time.
+    above ``max_rows``: a cursor cannot stop between them.
+
+    Cut points are pairs picked by hash; one aggregate counts the rows between
+    all of them, and only ranges above the limit get further points. What is
+    brought to the driver is the points, about ``POINTS * FAN_OUT`` of them
+    whatever the backlog holds. Slices are planned lazily, range by range.
     """
     if max_rows < 1:
         raise ValueError("max_rows must be positive")
@@ -57,78 +58,87 @@ def plan_slices(
         yield from _cut(df, columns, max_rows, Slice(None, bounds.last, bounds.rows))
 
 
-def _cut(
-    df: DataFrame, columns: CursorColumns, max_rows: int, whole: Slice
-) -> Iterator[Slice]:
+def _cut(df: DataFrame, columns: CursorColumns, max_rows: int, whole: Slice) -> Iterator[Slice]:
     if whole.rows <= max_rows:
         yield whole
         return
-    pairs = _sample(whole.of(df, columns), columns, whole.rows)
-    if whole.rows <= SAMPLE_PAIRS:  # the sample is the whole range
-        yield from _fill(pairs, max_rows, whole)
+    limit = max_rows * -(-whole.rows // (max_rows * FAN_OUT))
+    parts = list(_fill(_ranges(whole.of(df, columns), columns, limit, whole), limit))
+    if limit == max_rows or len(parts) == 1:  # one part: one pair
+        yield from parts
         return
-    parts = math.ceil(whole.rows / (max_rows * _FILL))
-    if parts > FAN_OUT:  # ranges of equally many slices, cut again when reached
-        parts = math.ceil(parts / math.ceil(parts / FAN_OUT))
-    pieces = list(_spread(pairs, parts, whole))
-    if len(pieces) == 1:
-        yield whole  # one pair holds practically all rows
-        return
-    for piece in pieces:
-        yield from _cut(df, columns, max_rows, piece)
+    for part in parts:
+        yield from _cut(df, columns, max_rows, part)
+
+
+def _ranges(df: DataFrame, columns: CursorColumns, limit: int, whole: Slice) -> list[Slice]:
+    """Counted ranges of ``whole``, each within ``limit`` or a single pair."""
+    ends, too_large = [whole.hi], [True]
+    stride = max(1, limit // POINTS)
+    while True:
+        points = _points(df, columns, stride, ends, too_large)
+        ends = sorted({*points, *ends}, key=Cursor.order)
+        counts = _counts(df, columns, ends)
+        too_large = [rows > limit for rows in counts]
+        if stride == 1 or not any(too_large):  # with stride 1 every pair is a point
+            break
+        stride = max(1, stride // FINER)
+    starts = [whole.lo, *ends[:-1]]
+    return [Slice(lo, hi, rows) for lo, hi, rows in zip(starts, ends, counts, strict=True) if rows]
+
+
+def _range_of(schema: T.StructType, columns: CursorColumns, ends: list[Cursor]) -> Column:
+    """The number of the range a row is in: how many ``ends`` lie before its pair, by
+    binary search in a constant array."""
+
+    def constants(values: list[str], name: str) -> Column:
+        texts = F.from_json(F.lit(json.dumps(values)), "array<string>")
+        return texts.cast(f"array<{schema[name].dataType.simpleString()}>")
+
+    keys = constants([end.key for end in ends], columns.key)
+    ids = constants([end.id for end in ends], columns.id)
+    key, id_ = F.col(columns.key), F.col(columns.id)
 
+    def step(found: Column, width: Column) -> Column:
+        k, i = F.get(keys, found + width - 1), F.get(ids, found + width - 1)
+        return F.when((k < key) | ((k == key) & (i < id_)), found + width).otherwise(found)
 
-def _sample(
-    df: DataFrame, columns: CursorColumns, rows: int
-) -> list[tuple[Cursor, int]]:
-    """Distinct pairs with the rows they stand for, in cursor order.
+    widths = [1 << n for n in reversed(range(len(ends).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)
 
-    The sample is taken by hash of the pair: repeatable, independent of the
-    partitioning, and a pair repeated a billion times is still one row. It only
-    places cuts; no row is left out of a slice.
+
+def _points(
+    df: DataFrame, columns: CursorColumns, stride: int, ends: list[Cursor], wanted: list[bool]
+) -> list[Cursor]:
+    """One pair in ``stride`` of the wanted ranges.
+
+    Picked by hash of the pair: repeatable, independent of the partitioning, and
+    a pair repeated a billion times is still one point. No row is left out of a slice.
     """
     key, id_ = F.col(columns.key), F.col(columns.id)
-    typed_key = key
+    picked = df.where(F.pmod(F.xxhash64(key, id_), F.lit(stride)) == 0)
+    flags = F.from_json(F.lit(json.dumps(wanted)), "array<boolean>")
+    picked = picked.where(F.get(flags, _range_of(df.schema, columns, ends)))
     if isinstance(df.schema[columns.key].dataType, T.TimestampType):
-        typed_key = F.unix_micros(key)
-    stride = max(1, rows // SAMPLE_PAIRS)
-    picked = df.where(F.pmod(F.xxhash64(key, id_), F.lit(stride)) == 0) if stride > 1 else df
-    counted = (
-        picked.groupBy(typed_key.alias("key"), id_.alias("id"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        # Few rows by design: one task sorts them, without a range shuffle.
-        .coalesce(1)
-        .sortWithinPartitions("key", "id")
-    )
-    return [
-        (to_cursor(row, df.schema, columns), row["rows"] * stride) for row in counted.collect()
-    ]
-
-
-def _fill(pairs: list[tuple[Cursor, int]], max_rows: int, whole: Slice) -> Iterator[Slice]:
-    """Slices filled up to ``max_rows`` from the counts of all pairs."""
-    lo, hi, filled = whole.lo, whole.lo, 0
-    for pair, rows in pairs:
-        if filled and filled + rows > max_rows:
-            yield Slice(lo, hi, filled)
-            lo, filled = hi, 0
-        hi = pair
-        filled += rows
-    if filled:
-        yield Slice(lo, whole.hi, filled)
-
-
-def _spread(
-    pairs: list[tuple[Cursor, int]], parts: int, whole: Slice
-) -> Iterator[Slice]:
-    """At most ``parts`` ranges between evenly spaced ranks of the sample; a heavy
-    pair that covers several ranks ends one range."""
-    total = sum(rows for _, rows in pairs)
-    lo, start, seen, rank = whole.lo, 0, 0, 1
-    for pair, rows in pairs:
-        seen += rows
-        if rank < parts and seen * parts >= total * rank and pair != whole.hi:
-            yield Slice(lo, pair, seen - start)
-            lo, start = pair, seen
-            rank = seen * parts // total + 1
-    yield Slice(lo, whole.hi, total - start)
+        key = F.unix_micros(key)
+    pairs = picked.select(key.alias("key"), id_.alias("id")).distinct().collect()
+    return [to_cursor(pair, df.schema, columns) for pair in pairs]
+
+
+def _counts(df: DataFrame, columns: CursorColumns, ends: list[Cursor]) -> list[int]:
+    """Rows in each range, all in one pass."""
+    place = _range_of(df.schema, columns, ends).alias("place")
+    found = {r["place"]: r["rows"] for r in df.groupBy(place).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    return [found.get(i, 0) for i in range(len(ends))]
+
+
+def _fill(ranges: list[Slice], limit: int) -> Iterator[Slice]:
+    """Neighbours joined up to ``limit`` rows."""
+    now = ranges[0]
+    for piece in ranges[1:]:
+        if now.rows + piece.rows > limit:
+            yield now
+            now = piece
+        else:
+            now = Slice(now.lo, piece.hi, now.rows + piece.rows)
+    yield now

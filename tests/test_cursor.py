@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marts.operators import (
     Cursor,
@@ -171,10 +172,9 @@ def test_slices_partition_the_rows(spark, values, max_rows):
     check_partition(df, list(plan_slices(df, COLUMNS, max_rows)), max_rows)
 
 
-def test_slices_by_sample_with_a_hot_timestamp(spark, monkeypatch):
-    """Large backlogs are cut from a sample, in several levels; a third of the
-    rows share one timestamp and one pair is repeated beyond the limit."""
-    monkeypatch.setattr(slices_module, "SAMPLE_PAIRS", 600)
+def test_slices_with_a_hot_timestamp(spark, monkeypatch):
+    """Ranges of ranges: a third of the rows share one timestamp and one pair is
+    repeated beyond the limit."""
     monkeypatch.setattr(slices_module, "FAN_OUT", 4)
     rng = random.Random(5)
     values = [(T0, i) for i in range(1000)]
@@ -182,16 +182,37 @@ def test_slices_by_sample_with_a_hot_timestamp(spark, monkeypatch):
     values += [(T0 + timedelta(seconds=77), 5)] * 400
     df = rows(spark, values).cache()
     plan = list(plan_slices(df, COLUMNS, 200))
-    sizes = [s.of(df, COLUMNS).count() for s in plan]
-    check_partition(df, plan, 200 * 2 + 400)
-    assert sum(sizes) == 3000
-    # Only the slice that holds the repeated pair may be far above the limit.
-    hot = cursor(T0 + timedelta(seconds=77), 5)
-    for piece, size in zip(plan, sizes):
-        holds_hot = (piece.lo is None or piece.lo.order() < hot.order()) and (
-            hot.order() <= piece.hi.order()
-        )
-        assert size <= (600 if holds_hot else 260)
+    check_partition(df, plan, 200)
+    assert sum(s.rows for s in plan) == 3000
     # The hot timestamp itself was cut by id.
     assert sum(s.hi.key == T0.isoformat(timespec="microseconds") for s in plan) >= 4
     df.unpersist()
+
+
+@pytest.mark.parametrize("points", [16, 1])
+@pytest.mark.parametrize("max_rows", [300_001, 40_000, 999])
+def test_no_slice_is_above_the_limit(spark, monkeypatch, points, max_rows):
+    """300 000 rows: a hot timestamp, runs of repeated pairs and one pair above every limit but
+    the first; with one point per slice the cuts need several levels."""
+    monkeypatch.setattr(slices_module, "POINTS", points)
+    n = 300_000
+    seconds = F.when(F.col("id") < n // 3, 50).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_000)))
+    number = F.when(F.col("id") >= n - 45_000, 7).otherwise(F.col("id"))
+    df = spark.range(n).select(
+        F.timestamp_seconds(F.when(F.col("id") >= n - 45_000, 90).otherwise(seconds)).cast("timestamp_ntz").alias("at"),
+        number.alias("id"),
+    ).cache()
+    plan = list(plan_slices(df, COLUMNS, max_rows))
+    seen, last = 0, None
+    for piece in plan if len(plan) < 40 else random.Random(1).sample(plan, 12):
+        counted = piece.of(df, COLUMNS).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("at", "id").alias("pairs")).first()
+        assert counted["n"] == piece.rows
+        assert piece.rows <= max_rows or counted["pairs"] == 1
+    for piece in plan:
+        assert piece.rows <= max_rows or piece.rows == 45_000
+        assert piece.lo == last
+        seen, last = seen + piece.rows, piece.hi
+    assert seen == n
+    if points == 16:
+        assert len(plan) <= 1.25 * n / max_rows + 3
+    df.unpersist()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.documents import document_id, iso_text, jsonify
+from .widen import exactly
 
 
 def match_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -95,4 +96,5 @@ def _declared(df: DataFrame, name: str, dtype: T.DataType) -> Column:
         shown = jsonify(df.select(name)).schema[name].dataType
         if isinstance(shown, T.StringType):
             value = iso_text(value, given)
-    return value.cast(dtype).alias(name)
+            return value.cast(dtype).alias(name)
+    return exactly(name, given, dtype).alias(name)

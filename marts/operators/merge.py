@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 SENT = "_sent"
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores in front until no column has it, in any case."""
+    used = {column.lower() for column in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def _orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
         return all(_orderable(field.dataType) for field in dtype.fields)
@@ -24,18 +32,19 @@ def latest_rows(
     key: Sequence[str],
     order: Sequence[str] = (),
     counters: Mapping[str, Column] | None = None,
+    sent: str = SENT,
 ) -> DataFrame:
     """One row per key: the last by ``order``, ties broken by the other columns,
     so a rerun picks the same row.
 
-    Adds ``_sent`` (rows the key had) and any ``counters``. The maximum of a
+    Adds ``sent`` (rows the key had) and any ``counters``. The maximum of a
     struct is combined before the shuffle: a key with a third of all rows sends
     one row per task.
     """
     values = [name for name in df.columns if name not in key]
     ranked = [name for name in order if name in values]
     rest = [name for name in values if name not in ranked]
-    counters = {SENT: F.count(F.lit(1)), **(counters or {})}
+    counters = {sent: F.count(F.lit(1)), **(counters or {})}
     counts = [column.alias(name) for name, column in counters.items()]
     grouped = df.groupBy(*key)
     if not values:
@@ -47,8 +56,9 @@ def latest_rows(
         picked = F.max_by(row, F.struct(*ranked))
     else:
         picked = F.any_value(row)
-    return grouped.agg(picked.alias("_row"), *counts).select(
-        *[F.col(name) if name in key else F.col(f"_row.{name}") for name in df.columns], *counters
+    best = free_name("_row", [*df.columns, *counters])
+    return grouped.agg(picked.alias(best), *counts).select(
+        *[F.col(name) if name in key else F.col(f"{best}.{name}") for name in df.columns], *counters
     )
 
 

@@ -29,6 +29,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ from pyspark.sql import types as T
 from ..operators.checks import not_null_rules, violated
 from ..operators.conform import document, match_names, project
 from ..operators.cursor import Cursor
-from ..operators.merge import SENT, latest_rows, upsert_rows
+from ..operators.merge import free_name, latest_rows, upsert_rows
+from ..operators.widen import as_schema, grown, inexact
 from ..session import require_ansi
 from .spec import TargetSpec
 from .storage import Folder
@@ -75,6 +77,8 @@ class Manifest:
     files: dict[int, Files] = field(default_factory=dict)
     cursors: dict[str, Cursor] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
+    # Of snapshots written when a field was narrower: the types in their files.
+    types: dict[str, T.StructType] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(
@@ -85,6 +89,7 @@ class Manifest:
                 "files": {b: [f.snapshot, *f.names] for b, f in self.files.items()},
                 "cursors": {job: cursor.to_json() for job, cursor in self.cursors.items()},
                 "streams": self.streams,
+                "types": {name: types.jsonValue() for name, types in self.types.items()},
             }
         )
 
@@ -101,6 +106,7 @@ class Manifest:
             },
             cursors={job: Cursor(**cursor) for job, cursor in value["cursors"].items()},
             streams=value["streams"],
+            types={n: T.StructType.fromJson(t) for n, t in value.get("types", {}).items()},
         )
 
     def snapshots(self) -> set[str]:
@@ -127,6 +133,7 @@ class Merged:
     buckets: int
     new: dict[int, Files]
     old: dict[int, Files | None]
+    schema: T.StructType  # in the new files
 
     def fits(self, base: Manifest) -> bool:
         """True if nothing this merge has read was changed since."""
@@ -191,13 +198,20 @@ class MartTable:
         if buckets is None and len(snapshots) == 1:
             # Holds: a snapshot's buckets are only ever replaced, and a bucket
             # replaced would have added a second snapshot.
-            return self._read_bucketed(snapshots.pop(), manifest.buckets, schema)
-        paths = [
-            self.folder.at(f"data/{manifest.files[bucket].snapshot}/{name}")
-            for bucket in (manifest.files if buckets is None else buckets)
-            for name in manifest.files[bucket].names
+            snapshot = snapshots.pop()
+            types = manifest.types.get(snapshot, schema)
+            return as_schema(self._read_bucketed(snapshot, manifest.buckets, types), _nullable(schema))
+        by_type: dict[str, list[str]] = {}
+        for bucket in manifest.files if buckets is None else buckets:
+            files = manifest.files[bucket]
+            types = manifest.types.get(files.snapshot, schema)
+            paths = by_type.setdefault(_nullable(types).json(), [])
+            paths.extend(self.folder.at(f"data/{files.snapshot}/{name}") for name in files.names)
+        frames = [
+            as_schema(self.spark.read.schema(T.StructType.fromJson(json.loads(types))).parquet(*paths), _nullable(schema))
+            for types, paths in by_type.items()
         ]
-        return self.spark.read.schema(_nullable(schema)).parquet(*paths)
+        return reduce(DataFrame.unionAll, frames)
 
     def _read_bucketed(self, snapshot: str, buckets: int, schema: T.StructType) -> DataFrame:
         name = _lent_name()
@@ -241,10 +255,10 @@ class MartTable:
         carried = [name for name in ranking if name not in order]
         present = T.StructType([f for f in self._declared().fields if f.name in rows.columns])
         rules = {**not_null_rules(present, self.spec.key), **self.spec.rules}
-        counters = {
-            f"_broken_{i}": F.count_if(violated(rule)) for i, rule in enumerate(rules.values())
-        }
-        unique = latest_rows(rows, self.spec.key, ranking, counters).drop(*carried)
+        broken = [free_name(f"_broken_{i}", rows.columns) for i in range(len(rules))]
+        counters = {n: F.count_if(violated(rule)) for n, rule in zip(broken, rules.values(), strict=True)}
+        sent = free_name("_sent", rows.columns)
+        unique = latest_rows(rows, self.spec.key, ranking, counters, sent).drop(*carried)
         schema = T.StructType([f for f in rows.schema.fields if f.name not in carried])
         buckets = base.buckets or self.spec.buckets
         name = _new_id()
@@ -263,7 +277,9 @@ class MartTable:
             self.folder.delete(path)
             return Staged(schema, buckets, (), 0)
         try:
-            touched, rows_sent = self._inspect(path, buckets, unique.schema, list(rules), order)
+            touched, rows_sent = self._inspect(
+                path, buckets, unique.schema, dict(zip(broken, rules, strict=True)), sent, order
+            )
         except Exception:
             self.folder.delete(path)
             raise
@@ -343,6 +359,10 @@ class MartTable:
     def _declared(self) -> T.StructType:
         return self.spec.struct() or T.StructType([])
 
+    def _fixed(self) -> frozenset[str]:
+        """Columns whose type never grows."""
+        return frozenset([*self._declared().names, *self.spec.key])
+
     def _conform(
         self, df: DataFrame, order: Sequence[str], now: datetime | None, base: Manifest
     ) -> tuple[DataFrame, list[str]]:
@@ -363,7 +383,10 @@ class MartTable:
                 )
         else:
             known = {f.name: f for f in self._declared().fields}
-            known.update({f.name: f for f in base.schema.fields} if base.schema else {})
+            if base.schema:
+                given = document(df, self._declared(), self.spec.key).schema
+                stored = self._grow_types(base, given)
+                known.update({f.name: f for f in stored.fields})
 
             def fit(frame: DataFrame, carry: Sequence[str]) -> DataFrame:
                 fields = T.StructType(list(known.values()))
@@ -371,7 +394,7 @@ class MartTable:
 
         kept = fit(df, ()).schema
         hidden = {
-            name: f"_order_{i}"
+            name: free_name(f"_order_{i}", df.columns)
             for i, name in enumerate(order)
             if name == self.spec.load_time
             or name not in kept.names
@@ -382,12 +405,33 @@ class MartTable:
         rows = fit(df, tuple(hidden.values()))
         return rows, [hidden.get(name, name) for name in order]
 
+    def _grow_types(self, base: Manifest, given: T.StructType) -> T.StructType:
+        """The stored schema, wide enough for ``given``. Declared fields keep their type."""
+        try:
+            schema = grown(base.schema, given, self._fixed())
+        except ValueError as error:
+            raise ValueError(f"target {self.spec.name}: {error}") from None
+        lost = {
+            f.name: inexact(F.col(f"`{f.name}`"), base.schema[f.name].dataType, f.dataType)
+            for f in schema.fields
+        }
+        lost = {name: where for name, where in lost.items() if where is not None}
+        if lost and base.files:  # once per field: it is a double from then on
+            counts = self._read(base).agg(*(F.count_if(w).alias(n) for n, w in lost.items())).first()
+            for name in lost:
+                if counts[name]:
+                    raise ValueError(
+                        f"target {self.spec.name}: {counts[name]} values of field {name!r} would lose digits as double"
+                    )
+        return schema
+
     def _inspect(
         self,
         path: str,
         buckets: int,
         schema: T.StructType,
-        rules: list[str],
+        rules: dict[str, str],
+        sent: str,
         order: Sequence[str],
     ) -> tuple[tuple[int, ...], int]:
         """Touched buckets and row count of what was written; raises on bad rows.
@@ -398,10 +442,10 @@ class MartTable:
         written = self.spark.read.schema(_nullable(schema)).parquet(self.folder.at(path))
         bucket = F.pmod(F.hash(*self.spec.key), F.lit(buckets))
         per_bucket = written.groupBy(bucket.alias("bucket")).agg(
-            F.sum(SENT).alias("sent"),
-            F.coalesce(F.sum(F.when(null_key, F.col(SENT))), F.lit(0)).alias("null_keys"),
-            F.count_if(F.col(SENT) > 1).alias("repeated"),
-            *[F.sum(f"_broken_{i}").alias(f"broken_{i}") for i in range(len(rules))],
+            F.sum(sent).alias("sent"),
+            F.coalesce(F.sum(F.when(null_key, F.col(sent))), F.lit(0)).alias("null_keys"),
+            F.count_if(F.col(sent) > 1).alias("repeated"),
+            *[F.sum(name).alias(name) for name in rules],
         )
         found = per_bucket.collect()
         problems = []
@@ -411,8 +455,8 @@ class MartTable:
         repeated = sum(row["repeated"] for row in found)
         if repeated and not order:
             problems.append(f"{repeated} keys are repeated and no order decides which row is last")
-        for i, rule in enumerate(rules):
-            broken = sum(row[f"broken_{i}"] for row in found)
+        for name, rule in rules.items():
+            broken = sum(row[name] for row in found)
             if broken:
                 problems.append(f"{broken} rows break rule {rule!r}")
         if problems:
@@ -424,7 +468,7 @@ class MartTable:
         """Write the next version of the buckets the staged rows fall into."""
         if staged.snapshot and not base.files and base.buckets in (None, staged.buckets):
             written = self._files(staged.snapshot)
-            return Merged(staged.buckets, written, dict.fromkeys(written))
+            return Merged(staged.buckets, written, dict.fromkeys(written), staged.schema)
         buckets = base.buckets or staged.buckets
         touched = _touched(staged, buckets)
         new = self.spark.read.schema(_nullable(staged.schema)).parquet(
@@ -446,13 +490,14 @@ class MartTable:
             if not whole or len(base.snapshots()) > 1:
                 old = old.repartition(width, *self.spec.key)
             new = upsert_rows(old, new, self.spec.key, staged.order)
+        schema = _merged_schema(base.schema, staged.schema, self._fixed())
         snapshot = _new_id()
-        self._write_buckets(new, buckets, snapshot)
+        self._write_buckets(as_schema(new, schema), buckets, snapshot)
         written = self._files(snapshot)
         replaced = {*existing, *touched}
         if set(written) != replaced:
             raise RuntimeError(f"wrote buckets {sorted(written)}, expected {sorted(replaced)}")
-        return Merged(buckets, written, {b: base.files.get(b) for b in replaced})
+        return Merged(buckets, written, {b: base.files.get(b) for b in replaced}, schema)
 
     def _write_buckets(self, df: DataFrame, buckets: int, snapshot: str) -> None:
         name = _lent_name()
@@ -473,16 +518,20 @@ class MartTable:
 
     def _successor(self, base: Manifest, staged: Staged, merged: Merged | None) -> Manifest:
         schema, buckets, files = base.schema, base.buckets, dict(base.files)
+        types = {name: base.types.get(name, schema) for name in base.snapshots()}
         if merged is not None:
-            schema = _merged_schema(base.schema, staged.schema)
+            schema = _merged_schema(base.schema, staged.schema, self._fixed())
             buckets = merged.buckets
             files.update(merged.new)
+            types.update({f.snapshot: merged.schema for f in merged.new.values()})
+        live = {f.snapshot for f in files.values()}
         return replace(
             base,
             version=base.version + 1,
             buckets=buckets,
             schema=schema,
             files=files,
+            types={n: t for n, t in types.items() if n in live and _narrower(t, schema)},
             cursors=dict(base.cursors),
             streams=dict(base.streams),
         )
@@ -514,7 +563,7 @@ class MartTable:
         rows = self._read(base).repartition(buckets, *self.spec.key)
         self._write_buckets(rows, buckets, snapshot)
         result = replace(
-            base, version=base.version + 1, buckets=buckets, files=self._files(snapshot)
+            base, version=base.version + 1, buckets=buckets, files=self._files(snapshot), types={}
         )
         self.folder.publish(_manifest_name(result.version), result.to_json())
 
@@ -572,11 +621,15 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _merged_schema(old: T.StructType | None, new: T.StructType) -> T.StructType:
+def _merged_schema(old: T.StructType | None, new: T.StructType, fixed: frozenset[str]) -> T.StructType:
     if old is None:
         return _nullable(new)
     added = [f for f in new.fields if f.name not in old.names]
-    return _nullable(T.StructType(list(old.fields) + added))
+    return _nullable(T.StructType(list(grown(old, new, fixed).fields) + added))
+
+
+def _narrower(types: T.StructType, schema: T.StructType) -> bool:
+    return any(f.dataType != schema[f.name].dataType for f in types.fields)
 
 
 def _touched(staged: Staged, buckets: int) -> list[int]:

@@ -204,6 +204,35 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query(
+    "upsert_documents_widening",
+    """SELECT p_partkey AS item_id,
+         CASE WHEN p_size > 40 THEN CAST(p_retailprice AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS amount,
+         CASE WHEN p_size > 16 AND p_size <= 40 THEN CAST(p_partkey + 3000000000 AS BIGINT)
+           ELSE p_size END AS code
+       FROM part""",
+)
+def upsert_documents_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field without a declared type grows: int, then bigint, then double; files
+    written before are read through the wider type."""
+    part = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "item_id")
+    small, size = F.col("p_size") <= 16, F.col("p_size").cast("int")
+    table = _table(spark, TargetSpec("amounts", ("item_id",), mode="merge"))
+    table.upsert(part.where(small).select("item_id", size.alias("amount"), size.alias("code")))
+    rest = part.where(~small)
+    table.upsert(
+        rest.where("p_size <= 40").select(
+            "item_id", size.cast("long").alias("amount"), (F.col("item_id") + 3_000_000_000).alias("code")
+        )
+    )
+    table.upsert(
+        rest.where("p_size > 40").select(
+            "item_id", F.col("p_retailprice").alias("amount"), size.alias("code")
+        )
+    )
+    return table.read()
+
+
 @query(
     "upsert_last_write_wins",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM (

@@ -77,6 +77,50 @@ def test_dynamic_documents_keep_the_first_type(spark, root):
         table.upsert(spark.createDataFrame([(2, "x")], "id bigint, n string"))
 
 
+def test_dynamic_fields_grow_with_their_values(spark, root):
+    table = MartTable(spark, root, TargetSpec("docs", ("id",), mode="merge", buckets=4))
+    for i in range(8):
+        table.upsert(spark.createDataFrame([(i, 5, [1])], "id bigint, n int, a array<int>"))
+    table.upsert(spark.createDataFrame([(8, 2**40)], "id bigint, n bigint"))
+    assert dict(table.read().dtypes)["n"] == "bigint"
+    table.upsert(spark.createDataFrame([(2, 7.5, [0.5])], "id bigint, n double, a array<double>"))
+    rows = {r["id"]: (r["n"], r["a"]) for r in table.read().collect()}
+    assert rows[2] == (7.5, [0.5]) and rows[1] == (5.0, [1.0]) and rows[8] == (2.0**40, None)
+    assert dict(table.read().dtypes) == {"id": "bigint", "n": "double", "a": "array<double>"}
+    table.upsert(spark.createDataFrame([(3, 9, "new")], "id bigint, n int, s string"))
+    assert {r["id"]: r["n"] for r in table.read().collect()}[3] == 9.0
+    table.rebucket(8)
+    assert {r["id"]: r["n"] for r in table.read().collect()} == {
+        **{i: 5.0 for i in (0, 1, 4, 5, 6, 7)}, 2: 7.5, 3: 9.0, 8: 2.0**40
+    }
+    assert table.manifest().types == {}
+
+
+def test_fields_that_do_not_fit_fail_with_their_name(spark, root):
+    table = MartTable(spark, root, TargetSpec("docs", ("id",), mode="merge"))
+    table.upsert(spark.createDataFrame([(1, 2**53 + 1, True)], "id bigint, n bigint, flag boolean"))
+    with pytest.raises(ValueError, match="1 values of field 'n' would lose digits"):
+        table.upsert(spark.createDataFrame([(2, 7.5)], "id bigint, n double"))
+    with pytest.raises(ValueError, match="field 'flag' holds boolean and cannot take int"):
+        table.upsert(spark.createDataFrame([(2, 1)], "id bigint, flag int"))
+    with pytest.raises(ValueError, match="field 'n' holds bigint and cannot take array<bigint>"):
+        table.upsert(spark.createDataFrame([(2, [1])], "id bigint, n array<bigint>"))
+    table.upsert(spark.createDataFrame([(1, 4)], "id bigint, n bigint"))
+    table.upsert(spark.createDataFrame([(2, 7.5)], "id bigint, n double"))
+    with pytest.raises(Exception, match="field 'n' is double and cannot hold 9007199254740993"):
+        table.upsert(spark.createDataFrame([(3, 2**53 + 1)], "id bigint, n bigint"))
+    assert content(table) == [(1, 4.0, True), (2, 7.5, None)]
+
+
+def test_fields_with_the_names_of_helper_columns(spark, root):
+    table = MartTable(spark, root, TargetSpec("docs", ("id",), mode="merge", rules={"r": "id > 0"}))
+    names = "id bigint, _sent int, _row string, _broken_0 int, _order_0 int, _new boolean, at int"
+    rows = spark.createDataFrame([(1, 1, "a", 2, 3, True, 4), (1, 5, "b", 6, 7, False, 5)], names)
+    for _ in range(2):
+        table.upsert(rows, order=("at",))
+    assert content(table) == [(1, 5, "b", 6, 7, False, 5)]
+
+
 def test_null_keys_are_an_error_for_both_rules(spark, root):
     for spec in (FILM_DIM, FILM_DIM_DOCUMENTS):
         table = MartTable(spark, root, spec)

@@ -9,6 +9,7 @@ from .cursor import (
     later,
     slice_bounds,
 )
+from .groups import GroupBy
 from .merge import latest_rows, upsert_rows
 from .reconcile import key_differences, summary
 from .slices import Slice, plan_slices
@@ -23,6 +24,7 @@ from .transforms import (
 __all__ = [
     "Cursor",
     "CursorColumns",
+    "GroupBy",
     "Slice",
     "apply_steps",
     "backlog",

@@ -84,6 +84,8 @@ def _load_all(
 ) -> None:
     seen = Observation()
     rows = source.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if job.group_by is not None:
+        rows = job.group_by.of(rows)
     staged = table.stage(apply_steps(rows, job.transforms()), job.order, now)
     observed = _observed(seen)
     result.rows_read = observed["rows"] if observed else source.count()
@@ -116,7 +118,7 @@ def _load_backlog(
         if staging is not None:
             pending = _stage_backlog(pending, job, staging)
         for piece in _pieces(pending, job):
-            staged, bounds = _stage_piece(table, job, pending, piece, now)
+            staged, bounds = _stage_piece(table, job, source, pending, piece, now)
             bounds.reject_null_rows(columns)
             if not bounds.rows:
                 continue
@@ -138,15 +140,22 @@ def _load_backlog(
 
 
 def _stage_piece(
-    table: MartTable, job: JobSpec, pending: DataFrame, piece: Slice | None, now: datetime
+    table: MartTable,
+    job: JobSpec,
+    source: DataFrame,
+    pending: DataFrame,
+    piece: Slice | None,
+    now: datetime,
 ) -> tuple[Staged, Bounds]:
     """Stage one slice (``None``: all that is pending) and tell what was read, in
-    the same pass over the source."""
+    the same pass over the pending rows."""
     columns = job.cursor
     rows = pending if piece is None else piece.of(pending, columns)
     seen = Observation()
     observed = rows.observe(seen, *bounds_aggregates(rows.schema, columns))
     usable = observed.where(F.col(columns.key).isNotNull() & F.col(columns.id).isNotNull())
+    if job.group_by is not None:
+        usable = job.group_by.of(job.group_by.affected(source, usable))
     out = apply_steps(usable, job.transforms())
 
     def nothing_read() -> bool:
@@ -165,7 +174,7 @@ def _stage_piece(
     bounds.reject_null_rows(columns)
     if not bounds.rows:
         return staged, bounds
-    return _stage_piece(table, job, pending, Slice(None, bounds.last, bounds.rows), now)
+    return _stage_piece(table, job, source, pending, Slice(None, bounds.last, bounds.rows), now)
 
 
 def _observed(seen: Observation) -> dict[str, Any]:

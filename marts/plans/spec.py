@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..operators.cursor import CursorColumns
+from ..operators.groups import GroupBy
 
 _NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_.\-]*")
 
@@ -86,6 +87,10 @@ class JobSpec:
     source is evaluated once a run. ``stage_backlog=False`` leaves that out: every
     slice reads the source again through a range filter, which suits sources laid
     out by the cursor key.
+
+    ``group_by`` aggregates the query's rows before the steps. An incremental job then
+    takes the groups of the rows past the cursor and computes those anew from all
+    their rows; other groups are neither aggregated nor written.
     """
 
     job_id: str
@@ -99,6 +104,7 @@ class JobSpec:
     stage_backlog: bool | None = None
     overlap: timedelta | None = None
     null_keys: str = "error"
+    group_by: GroupBy | None = None
 
     def __post_init__(self) -> None:
         _check_name(self.job_id)

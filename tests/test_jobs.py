@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
 
-from marts.operators import CursorColumns, film_dim, normalize_title
+from marts.operators import Cursor, CursorColumns, GroupBy, backlog, film_dim, normalize_title
 from marts.plans import (
     JobSpec,
     MartTable,
@@ -351,3 +352,61 @@ def test_film_marts(spark, root):
     run_job(spark, films.FILM_RATING_AGG_DOCUMENTS_FULL, root)
     assert rows(films.FILM_RATING_AGG_DOCUMENTS, "avg_rating", "rating_count") == [(7.0, 1), (8.5, 2)]
     assert RunHistory(spark, root).last_of_every_job().count() == 7
+
+
+GROUPED = TargetSpec("totals", ("name",), "name STRING, n BIGINT, total BIGINT")
+
+
+def grouped_job(**options):
+    grouping = GroupBy(("name",), {"n": "count(*)", "total": "sum(v)"})
+    return JobSpec(
+        "totals", "SELECT * FROM sales", GROUPED, mode="incremental",
+        cursor=CursorColumns("at", "id"), group_by=grouping, **options,
+    )
+
+
+def sales(spark, rows):
+    columns = "id bigint, name string, v bigint, at timestamp_ntz, _changed_0 string"
+    spark.createDataFrame([(*r, "x") for r in rows], columns).createOrReplaceTempView("sales")
+
+
+@pytest.mark.parametrize("max_rows", [None, 3])
+def test_only_affected_groups_are_computed(spark, root, max_rows):
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(i, "abcde"[i % 5], i, day(1 + i // 5)) for i in range(20)]
+    sales(spark, rows)
+    run_job(spark, grouped_job(max_rows=max_rows), root)
+    rows += [(90, "b", 100, day(9)), (91, "new", 7, day(9)), (92, "b", 1, day(10))]
+    # A row of another group changes unseen: that group is not computed again.
+    rows[0] = (0, "a", 1000, day(1))
+    sales(spark, rows)
+    result = run_job(spark, grouped_job(max_rows=max_rows), root)
+    assert (result.rows_read, result.rows_written) == (3, 2)
+    got = {r["name"]: (r["n"], r["total"]) for r in MartTable(spark, root, GROUPED).read().collect()}
+    assert got["b"] == (6, 1 + 6 + 11 + 16 + 101) and got["new"] == (1, 7) and got["a"] == (4, 0 + 5 + 10 + 15)
+    assert run_job(spark, grouped_job(max_rows=max_rows), root).rows_written == 0
+    run_job(spark, replace(grouped_job(), mode="full", max_rows=None, job_id="all"), root)
+    assert content_of(spark, root)["a"] == (4, 1030)
+
+
+def content_of(spark, root):
+    return {r["name"]: (r["n"], r["total"]) for r in MartTable(spark, root, GROUPED).read().collect()}
+
+
+def test_the_cursor_reaches_the_scan_of_the_changed_keys(spark, root):
+    day = datetime(2024, 1, 1)
+    data = spark.createDataFrame([(i, "ab"[i % 2], i, day) for i in range(9)], "id bigint, name string, v bigint, at timestamp_ntz")
+    data.write.parquet(f"{root}/sales")
+    source = spark.read.parquet(f"{root}/sales")
+    grouping = GroupBy(("name",), {"n": "count(*)"})
+    here = Cursor("2024-01-01T00:00:00.000000", "5", "timestamp_ntz", "bigint")
+    out = grouping.of(grouping.affected(source, backlog(source, CursorColumns("at", "id"), here)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "GreaterThanOrEqual(at," in plan and "LeftSemi" in plan
+    assert out.count() == 2
+
+
+def test_groups_need_keys_and_aggregates():
+    for keys, aggregates in (((), {"n": "count(*)"}), (("a",), {}), (("a",), {"A": "count(*)"})):
+        with pytest.raises(ValueError):
+            GroupBy(keys, aggregates)

@@ -1,14 +1,18 @@
-"""Substring deduplication by line hashing.
+"""Substring deduplication by line hashing: repeated passages of lines and sentences.
 
-A unit is a line. Its normal form is lower case with ASCII blanks joined and trimmed;
-units of fewer than ``least_words`` words are left alone (``LEAST_WORDS``, as the SQL of
-``op8_substring_dedup`` has it; with 1 every line with a word counts). ``drop_repeated_sentences``
-takes sentences inside lines instead, of any length. Of equal units in the whole table the first by (doc_id, position) stays, all others are removed with their line end,
-and the removed spans keep their byte offsets in the input.
+A unit is a sentence inside a line (or, with ``drop_repeated_lines``, a whole line). Its normal
+form is lower case with ASCII blanks joined and trimmed. Of equal units in the whole table
+the first by (doc_id, position) stays; the others are repeated. ``drop_repeated_passages``
+removes maximal runs of repeated units, next to each other in a document, that come to
+``least_passage`` words or more: a passage goes as a whole, a stock sentence or a short
+line by itself stays. Units without a word neither break a run nor go with it. Removed
+spans keep their byte offsets in the input. A sentence that a passage shares only in part (at its
+ends, or with an edited word) is not repeated and stays.
 
 Units travel as 128-bit digests and places. The first place of each digest comes from
 a minimum that is combined before the shuffle; the join that returns it has one row a
-digest on one side, so adaptive execution splits a frequent line's other side.
+digest on one side, so adaptive execution splits a frequent unit's other side. Runs are
+found where a document's repeated units meet its text.
 
 Defined cases: null text is empty; a null ``doc_id`` ranks first; rows equal in id and
 text are one document to the ranking and keep the same units; an empty table gives an
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 from marts.llm.substring_repeats import _cut, _two
 from marts.llm.workers import ship
 
-LEAST_WORDS = 5
+#: Words that a run of repeated units needs to be a passage.
+LEAST_PASSAGE = 20
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,13 +60,15 @@ def _sentences(text: str) -> list[str]:
 def _units(least_words: int, split: Callable[[str], list[str]]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, row, low, high = [], [], [], []
+            digests, row, low, high, place = [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                at = 0
+                at = number = 0
                 for unit in split(text):
                     size = len(unit.encode())
                     words = _WORD.findall(unit.lower())
+                    number += bool(words)
                     if len(words) >= least_words:
+                        place.append(number << 32 | len(words))
                         digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
                         row.append(i)
                         low.append(at)
@@ -76,6 +84,7 @@ def _units(least_words: int, split: Callable[[str], list[str]]):
                     "uid": batch["uid"].take(take),
                     "low": pa.array(low, pa.int64()),
                     "high": pa.array(high, pa.int64()),
+                    "place": pa.array(place, pa.int64()),
                 }
             )
 
@@ -83,7 +92,7 @@ def _units(least_words: int, split: Callable[[str], list[str]]):
 
 
 def drop_repeated_lines(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = 1
 ) -> DataFrame:
     """``(doc_id, kept, n_bytes, n_removed, spans)``, one row per row of ``docs``."""
     if least_words < 1:
@@ -99,7 +108,39 @@ def drop_repeated_sentences(docs: DataFrame, *, key: str = "doc_id", text: str =
     return _drop(docs, key, text, _units(1, _sentences))
 
 
-def _drop(docs: DataFrame, key: str, text: str, units_of) -> DataFrame:
+def drop_repeated_passages(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_passage: int = LEAST_PASSAGE
+) -> DataFrame:
+    """As ``drop_repeated_sentences``, for runs of ``least_passage`` words or more only."""
+    if least_passage < 1:
+        raise ValueError("least_passage must be positive")
+    return _drop(docs, key, text, _units(1, _sentences), least_passage)
+
+
+def _passages(least: int):
+    """Cuts the units of runs of ``least`` words."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for units in batch["packed"]:
+                if not units.is_valid:
+                    packed.append(None)
+                    continue
+                place = np.asarray(units.values.field("place"), dtype=np.int64)
+                order = np.argsort(place)
+                number, words = place[order] >> 32, place[order] & 0xFFFFFFFF
+                run = np.cumsum(np.diff(number, prepend=number[:1]) > 1)
+                total = np.bincount(run, words)
+                spans = np.asarray(units.values.field("span"), dtype=np.int64)[order][total[run] >= least]
+                packed.append(spans if len(spans) else None)
+            columns = {"doc_id": batch["doc_id"], "text": batch["text"]}
+            yield pa.record_batch(columns | {"packed": pa.array(packed, pa.list_(pa.int64()))})
+
+    return lambda batches: _cut(runs(batches))
+
+
+def _drop(docs: DataFrame, key: str, text: str, units_of, least_passage: int = 1) -> DataFrame:
     ship(docs.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -108,7 +149,7 @@ def _drop(docs: DataFrame, key: str, text: str, units_of) -> DataFrame:
         value.alias("text"),
     )
     units = rows.mapInArrow(
-        units_of, "c1 long, c2 long, doc_id long, uid long, low long, high long"
+        units_of, "c1 long, c2 long, doc_id long, uid long, low long, high long, place long"
     )
     place = F.struct("doc_id", "uid", "low")
     first = (
@@ -120,11 +161,13 @@ def _drop(docs: DataFrame, key: str, text: str, units_of) -> DataFrame:
     gone = units.join(first, ["c1", "c2"]).where(~place.eqNullSafe(F.col("first")))
     same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k1"), F.col("uid").alias("k2")]
     spans = gone.groupBy(*same).agg(
-        F.collect_set(F.shiftleft("low", 32).bitwiseOR(F.col("high"))).alias("packed")
+        F.collect_set(
+            F.struct("place", F.shiftleft("low", 32).bitwiseOR(F.col("high")).alias("span"))
+        ).alias("packed")
     )
     joined = rows.select(*same, "doc_id", "text").join(spans, ["k1", "k2"], "left")
     return joined.select("doc_id", "text", "packed").mapInArrow(
-        _cut,
+        _passages(least_passage),
         "doc_id long, kept binary, n_bytes long, n_removed long, "
         "spans array<struct<low:bigint,high:bigint>>",
     )

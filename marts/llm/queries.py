@@ -241,32 +241,42 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
-), numbered AS (
-  SELECT doc_id, l.line, l.i FROM (
-    SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[^\n]*\n|[^\n]+'),
-      lambda x, i: {'line': x, 'i': i})) AS l
-    FROM texts)
+), pieces AS (
+  SELECT doc_id, unnest(list_transform(list_filter(string_split(regexp_replace(text,
+      '([.!?\x{2026}]+["'')\]\x{BB}\x{201D}\x{2019}]*[\x20\x09\x0B-\x0D]*\n|[.!?\x{2026}]+["'')\]\x{BB}\x{201D}\x{2019}]*[\x20\x09\x0B-\x0D]+|[\x{3002}\x{FF01}\x{FF1F}]+[\x{300D}\x{300F}\x{201D}\x{2019}]*[\x20\x09\x0B-\x0D]*\n?|\n)',
+      '\1' || chr(57344), 'g'), chr(57344)),
+    lambda x: x <> ''), lambda x, i: {'unit': x, 'i': i})) AS u
+  FROM texts
 ), placed AS (
-  SELECT doc_id, line, i, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words,
-    sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY i) AS high
-  FROM numbered
+  SELECT doc_id, u.unit, u.i, regexp_extract_all(lower(u.unit), '[^\x20\x09-\x0D]+') AS words,
+    sum(strlen(u.unit)) OVER (PARTITION BY doc_id ORDER BY u.i) AS high
+  FROM pieces
 ), judged AS (
-  SELECT doc_id, line, i, (high - strlen(line))::BIGINT AS low, high::BIGINT AS high,
-    len(words) >= 5 AND row_number() OVER (
-      PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS gone
-  FROM placed
+  SELECT *, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS again,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM placed WHERE len(words) > 0
 ), runs AS (
-  SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM judged
-), cut AS (
-  SELECT doc_id, min(low) AS low, max(high) AS high FROM runs WHERE gone GROUP BY doc_id, run
+  SELECT *, k - row_number() OVER (PARTITION BY doc_id, again ORDER BY k) AS run FROM judged
+), gone AS (
+  SELECT doc_id, i FROM runs WHERE again
+  QUALIFY sum(len(words)) OVER (PARTITION BY doc_id, run) >= 20
+), marked AS (
+  SELECT p.doc_id, p.unit, p.i, (p.high - strlen(p.unit))::BIGINT AS low, p.high::BIGINT AS high,
+    g.i IS NOT NULL AS gone
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i
+), spans AS (
+  SELECT doc_id, min(low) AS low, max(high) AS high FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked WHERE gone)
+  GROUP BY doc_id, span
 ), cuts AS (
   SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
     '[' || string_agg('{"low":' || low || ',"high":' || high || '}', ',' ORDER BY low) || ']' AS spans
-  FROM cut GROUP BY doc_id
+  FROM spans GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, string_agg(line, '' ORDER BY i) AS text FROM judged WHERE NOT gone GROUP BY doc_id
+  SELECT doc_id, string_agg(unit, '' ORDER BY i) AS text FROM marked WHERE NOT gone GROUP BY doc_id
 )
 SELECT doc_id, strlen(t.text) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  strlen(t.text) - coalesce(n_removed, 0) AS kept_bytes,
   coalesce(n_spans, 0) AS n_spans, coalesce(spans, '[]') AS spans,
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts t LEFT JOIN cuts USING (doc_id) LEFT JOIN kept k USING (doc_id)
@@ -275,7 +285,7 @@ FROM texts t LEFT JOIN cuts USING (doc_id) LEFT JOIN kept k USING (doc_id)
 
 @query("op8_substring_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _removed(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
+    return _removed(line_dedup.drop_repeated_passages(table(spark, sf_dir, "documents")))
 
 
 @query("op8_sentence_dedup")
@@ -288,6 +298,7 @@ def _removed(found: DataFrame) -> DataFrame:
         "doc_id",
         "n_bytes",
         "n_removed",
+        (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"),
         F.size("spans").cast("long").alias("n_spans"),
         F.to_json("spans").alias("spans"),
         F.sha2("kept", 256).alias("kept_sha256"),

@@ -14,7 +14,7 @@ def _frame(spark, rows):
 
 
 def _got(df):
-    return [(r.doc_id, bytes(r.kept).decode()) for r in line_dedup.drop_repeated_lines(df).collect()]
+    return [(r.doc_id, bytes(r.kept).decode()) for r in line_dedup.drop_repeated_lines(df, least_words=5).collect()]
 
 
 def _brute(rows):
@@ -55,7 +55,7 @@ def test_as_brute_force(spark):
 def test_offsets_are_bytes_of_the_input(spark):
     line = "é è ê ë ñ\n"
     df = _frame(spark, [(1, line), (2, f"ü\n{line}ü\n{line}{line}")])
-    r = next(r for r in line_dedup.drop_repeated_lines(df).collect() if r.doc_id == 2)
+    r = next(r for r in line_dedup.drop_repeated_lines(df, least_words=5).collect() if r.doc_id == 2)
     size = len(line.encode())
     assert [(s.low, s.high) for s in r.spans] == [(3, 3 + size), (6 + size, 6 + 3 * size)]
     assert (r.n_bytes, r.n_removed, bytes(r.kept).decode()) == (6 + 3 * size, 3 * size, "ü\nü\n")
@@ -115,3 +115,55 @@ def test_sentences_as_brute_force(spark):
     rows = [(i, "".join(rng.choices(bits, k=rng.randrange(40)))) for i in range(80)]
     got = line_dedup.drop_repeated_sentences(_frame(spark, rows).repartition(7)).collect()
     assert {r.doc_id: bytes(r.kept).decode() for r in got} == _brute_sentences(rows)
+
+
+def _brute_passages(rows, least):
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        pieces = []
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
+            pieces += re.sub(r"([.!?]+[\"')]*[ \t\n]+|。[ \t\n]*)", "\\1\0", line).split("\0")
+        words = [re.findall(r"[^ \t-\r]+", p.lower()) for p in pieces]
+        gone, run = set(), []
+        for i, w in [*((i, w) for i, w in enumerate(words) if w), (-1, None)]:
+            if w is not None and tuple(w) in seen:
+                run.append(i)
+                continue
+            if sum(len(words[j]) for j in run) >= least:
+                gone |= set(run)
+            run = []
+            if w is not None:
+                seen.add(tuple(w))
+        out[doc_id] = "".join(p for i, p in enumerate(pieces) if i not in gone)
+    return out
+
+
+def test_passages_go_and_stock_sentences_stay(spark):
+    passage = "One sentence of some seven words here.\nAnd another, of eight words or so. \n\nThe third one has just seven words! "
+    stock = "All rights reserved by the owner.\n"
+    texts = [f"Start here. {passage}{stock}End.", f"{stock}Other start.\n{passage.upper()}Other end.", f"{stock}New words.\n{stock}"]
+    got = line_dedup.drop_repeated_passages(_frame(spark, enumerate(texts))).collect()
+    kept = {r.doc_id: bytes(r.kept).decode() for r in got}
+    assert kept == {0: texts[0], 1: f"{stock}Other start.\n\nOther end.", 2: texts[2]}
+    row = next(r for r in got if r.doc_id == 1)
+    assert row.n_removed == sum(s.high - s.low for s in row.spans) == len(passage) - 1
+
+
+def test_passages_as_brute_force(spark):
+    rng = random.Random(4)
+    bits = ["one two. ", "One  two.\t", "é è! ", "3.14 is it? ", "猫。", "end\n", "\n", " ", "a ", "so. ", "Wait?! ", "x.\" "]
+    rows = [(i, "".join(rng.choices(bits, k=rng.choice([0, 5, 40])))) for i in range(80)]
+    rows += [(90 + i, rows[i][1]) for i in range(5)] + [(200, "".join(rng.choices(bits, k=40_000)))]
+    for least in (1, 6, 20):
+        got = line_dedup.drop_repeated_passages(_frame(spark, rows).repartition(7), least_passage=least).collect()
+        assert {r.doc_id: bytes(r.kept).decode() for r in got} == _brute_passages(rows, least)
+    assert line_dedup.drop_repeated_passages(_frame(spark, [])).count() == 0
+
+
+def test_passages_of_odd_rows(spark):
+    text = "word " * 30 + ". "
+    rows = [(None, text), (3, text), (3, text), (4, None), (5, "")]
+    got = line_dedup.drop_repeated_passages(_frame(spark, rows)).collect()
+    assert sorted((repr(r.doc_id), r.n_removed) for r in got) == [
+        ("3", len(text)), ("3", len(text)), ("4", 0), ("5", 0), ("None", 0)
+    ]

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marts.llm.arrays import LOWER, mix, powers, span_hashes, text_slices, words
+from marts.llm.arrays import LOWER, mix, span_hashes, text_slices, words
 from marts.llm.workers import ship
 
 SAMPLE_ROWS = 8_000
+#: Bytes of text that the fit works on at once.
+SLICE_BYTES = 1 << 20
 SAMPLE_TEXT_BYTES = 32 << 10
 FEATURES = 4096
 LEAST_DOCUMENTS = 3
@@ -145,20 +147,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     positive, total = int(labels.sum()), len(labels)
     if not 0 < positive < total:
         return none
-    parts, doc_feature = [], []
-    for first, values, offsets in text_slices(texts):
-        found = bags(values, offsets)
-        doc = found.row[found.sentence] + first
-        order = np.lexsort((found.feature, doc))
-        d, f = doc[order], found.feature[order]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1])
-        doc_feature.append((d[new], f[new]))
-        parts.append((first, found))
-    doc = np.concatenate([x[0] for x in doc_feature])
-    names, at = np.unique(np.concatenate([x[1] for x in doc_feature]), return_inverse=True)
-    everywhere = np.bincount(at, minlength=len(names))
-    toxic = np.bincount(at, labels[doc], len(names))
+    names, everywhere, toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for first, values, offsets in text_slices(texts, SLICE_BYTES):
+        held.append(_seen(bags(values, offsets), labels[first : first + len(offsets) - 1]))
+        if len(held) == 4:
+            names, everywhere, toxic = _added([(names, everywhere, toxic), *held])
+            held = []
+    names, everywhere, toxic = _added([(names, everywhere, toxic), *held])
     gain = _told(toxic, everywhere, positive, total)
     gain[(everywhere < LEAST_DOCUMENTS) | (toxic * total <= everywhere * positive)] = 0
     best = np.argsort(-gain, kind="stable")[:FEATURES]
@@ -167,7 +163,8 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         return none
 
     who, what, owner, base = [], [], [], 0
-    for first, found in parts:
+    for first, values, offsets in text_slices(texts, SLICE_BYTES):
+        found = bags(values, offsets)
         sentence, feature = _known(found, features)
         kept, local = np.unique(sentence, return_inverse=True)
         who.append(local + base)
@@ -177,6 +174,23 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return _descend(features, np.concatenate(who), np.concatenate(what), np.concatenate(owner), labels)
 
 
+def _seen(found: Bags, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of some texts, the documents that have them and the toxic ones among these."""
+    doc = found.row[found.sentence]
+    order = np.lexsort((found.feature, doc))
+    doc, feature = doc[order], found.feature[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])
+    names, at = np.unique(feature[new], return_inverse=True)
+    return names, np.bincount(at, minlength=len(names)), np.bincount(at, labels[doc[new]], len(names))
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    count = lambda i: np.bincount(at, np.concatenate([p[i] for p in parts]), len(names))
+    return names, count(1), count(2)
+
+
 def _told(toxic: np.ndarray, everywhere: np.ndarray, positive: int, total: int) -> np.ndarray:
     """Log-likelihood ratio of presence and label."""
 

@@ -67,17 +67,32 @@ def pandas_transform(
     return lambda df: df.mapInPandas(batches, schema)
 
 
+def _takes(fn: Callable[..., Any], name: str) -> bool:
+    try:
+        parameters = inspect.signature(fn).parameters.values()
+    except (TypeError, ValueError):  # some built-in functions tell nothing
+        return False
+    named = (inspect.Parameter.KEYWORD_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD)
+    return any(
+        p.kind == inspect.Parameter.VAR_KEYWORD or (p.name == name and p.kind in named) for p in parameters
+    )
+
+
 def rows_transform(
-    fn: Callable[[list[dict[str, Any]]], Any], schema: str | T.StructType
+    fn: Callable[..., Any], schema: str | T.StructType, pipeline: Mapping[str, Any] | None = None
 ) -> Transform:
     """A ``rows -> rows`` function (sync or async) over batches of dicts.
 
+    ``pipeline`` is a small mapping about the job; a function with a parameter of that
+    name, or with ``**`` ones, is called as ``fn(rows, pipeline=...)``, others without.
+
     The escape hatch for existing row code: batches travel as Arrow and hold
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows. The result may be any
     iterable of mappings; columns missing from a row become NULL.
     """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(target)
+    passed = {"pipeline": dict(pipeline or {})} if _takes(fn, "pipeline") else {}
 
     # Both are local, so that they reach the workers by value.
     async def resolved(awaitable: Any) -> Any:
@@ -87,7 +102,7 @@ def rows_transform(
         for batch in records:
             if not batch.num_rows:
                 continue
-            result = fn(batch.to_pylist())
+            result = fn(batch.to_pylist(), **passed)
             if inspect.isawaitable(result):
                 result = asyncio.run(resolved(result))
             if isinstance(result, (str, bytes, Mapping)) or not isinstance(result, Iterable):

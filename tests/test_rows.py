@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
 from decimal import Decimal
@@ -206,3 +207,43 @@ def test_reconcile(spark):
     assert sorted(keys_only.collect()) == [(4, "extra"), (5, "missing")]
     hot = source.unionByName(spark.range(5000).selectExpr("1 AS k", "'a' AS v"))
     assert sorted(key_differences(hot, target, ["k"], ["v"]).collect()) == sorted(found.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 7, 4096])
+def test_differences_by_digest_equal_brute_force(spark, parts):
+    rng = random.Random(parts)
+    make = lambda: [(rng.choice([*range(60), None]), rng.choice(["a", "b", None])) for _ in range(80)]
+    left, right = make(), make()
+    right += left[:20]
+    side = lambda rows, kind: spark.createDataFrame(rows, f"k {kind}, v string")
+    found = key_differences(side(left, "int"), side(right, "bigint"), ["k"], ["v"], parts)
+    order = lambda v: (v is not None, v or "")
+    want = set()
+    for k in {k for k, _ in left + right}:
+        a, b = (sorted((v for x, v in rows if x == k), key=order) for rows in (left, right))
+        if not a or not b:
+            want.add((k, "extra" if not a else "missing"))
+        elif (a[0], a[-1]) != (b[0], b[-1]):
+            want.add((k, "changed"))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_equal_sides_shuffle_only_digests(spark):
+    rows = spark.range(50_000).selectExpr("id AS k", "repeat('x', 50) AS v", "id AS _side", "id AS _part")
+    found = key_differences(rows, rows.repartition(3), ["k"], ["v", "_side", "_part"], parts=64)
+    assert found.count() == 0
+    one = rows.withColumn("v", F.when(F.col("k") == 77, "y").otherwise(F.col("v")))
+    assert [tuple(r) for r in key_differences(rows, one, ["k"], ["v"], parts=64).collect()] == [(77, "changed")]
+
+
+def test_rows_transform_passes_the_pipeline_to_functions_that_take_it(spark):
+    df = spark.createDataFrame([(1,)], "id bigint")
+
+    def named(rows, pipeline):
+        return [{"id": r["id"] + pipeline["step"]} for r in rows]
+
+    def free(rows, **about):
+        return [{"id": about["pipeline"]["step"]} for _ in rows]
+
+    for fn, want in ((named, 42), (free, 41), (lambda rows: rows, 1), (list, 1)):
+        assert apply_steps(df, [rows_transform(fn, "id bigint", pipeline={"step": 41})]).first()[0] == want

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marts.operators.merge import free_name
 from marts.session import new_folder
 
 MIN_CHARS = 512
@@ -143,17 +144,18 @@ def drop_copies(
 
     Rows that share id and text are one document; one of them, any, stays.
     """
-    same_id = F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_id")
+    one, two = free_name("_id", docs.columns), free_name("_sha", docs.columns)
     groups = exact_groups(spark, docs, key=key, text=text)
     kept = groups.where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-        F.col("text_sha256").alias("_sha"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(one),
+        F.col("text_sha256").alias(two),
+    )
+    named = docs.select(
+        "*",
+        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias(one),
+        F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256).alias(two),
     )
-    sha = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
-    named = docs.select("*", same_id, sha.alias("_sha"))
     # Both steps use the join's shuffle and order: the text moves once.
     return (
-        named.join(kept, ["_id", "_sha"], "left_semi")
-        .dropDuplicates(["_id", "_sha"])
-        .select(*docs.columns)
+        named.join(kept, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
     )

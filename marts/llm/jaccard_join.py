@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from marts.llm.arrays import BLANK, LOWER, shingles, text_slices
 from marts.llm.components import connected_components
 from marts.llm.workers import ship
+from marts.operators.merge import free_name
 from marts.session import new_folder
 
 SIZE = 5
@@ -566,28 +567,52 @@ def near_components(
 def drop_near_copies(
     spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` without those of which a connected one with a lesser id stays.
+    """One row of each component of ``docs``: the one with the least id, null ids last.
 
-    Rows with a null id stay. Only documents whose id may be among the dropped ones
-    shuffle with their text: a filter of fixed size lets all others pass where they are.
+    A row is told by its id and text, so rows that share an id are judged each by its own
+    text, and of repeated rows one stays. Rows without a word are linked with nothing and
+    all stay. Only rows that may be dropped or repeated shuffle with their text: a
+    filter of fixed size lets all others pass where they are.
     """
-    found = near_components(spark, docs, key=key, text=text)
+    names = (free_name(n, docs.columns) for n in ("_row", "_worded", "_gone", "_gone_id"))
+    row, worded, gone, gone_id = names
+    number = F.col(key).cast("long")
+    body = F.coalesce(F.col(text), F.lit(""))
+    told = docs.select(
+        "*",
+        F.xxhash64(number, body).alias(row),
+        F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias(worded),
+    )
+    found = near_components(spark, told, key=row, text=text).where("n_shingles > 0")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    ids = told.where(F.col(worded)).select(F.col(row).alias("doc_id"), number.alias("id")).distinct()
+    # Of a hot component's rows each task sends the least only.
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+    placed = ids.join(found, "doc_id").select("doc_id", "id", "component", "n", place.alias("place"))
+    folder = new_folder(spark, "near-rows")
+    placed.write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    judged = placed.join(first, "component").select(
+        F.col("doc_id").alias(gone), F.col("id").alias(gone_id), (F.col("place") != F.col("first")).alias("drop"), "n"
+    )
     folder = new_folder(spark, "dropped")
-    found.where("doc_id <> component_id").select("doc_id").distinct().write.parquet(folder)
-    dropped = spark.read.parquet(folder)
-    suspects = BitFilter(dropped)
-    number = docs.columns.index(key)
+    judged.where("drop OR n > 1").write.parquet(folder)
+    marked = spark.read.parquet(folder)
+    suspects = BitFilter(marked.select(F.col(gone).alias("doc_id")))
+    at, has_word = len(docs.columns), len(docs.columns) + 1
 
     def chosen(suspect: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(number).cast(pa.int64()).fill_null(0).to_numpy()
-                yield batch.filter(pa.array(suspects.has(ids) == suspect))
+                open_ = suspects.has(batch.column(at).to_numpy())
+                open_ &= batch.column(has_word).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(open_ == suspect))
 
-        return docs.mapInArrow(task, docs.schema)
+        return told.mapInArrow(task, told.schema)
 
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
     checked = chosen(True)
-    return chosen(False).unionByName(
-        checked.join(gone, checked[key].cast("long") == F.col("_gone"), "left_anti")
-    )
+    same = (F.col(row) == F.col(gone)) & number.eqNullSafe(F.col(gone_id))
+    left = checked.join(marked.where("drop").select(gone, gone_id), same, "left_anti")
+    left = left.withColumn(gone_id, number).dropDuplicates([row, gone_id])
+    return chosen(False).select(*docs.columns).unionByName(left.select(*docs.columns))

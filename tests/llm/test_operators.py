@@ -377,6 +377,22 @@ def test_jaccard_empty_and_kept_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
 
 
+def test_near_copies_are_told_by_id_and_text(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    b = " ".join(f"v{i}" for i in range(40))
+    given = [(3, a), (5, a + " x"), (5, b), (7, None), (7, None), (8, " \n"), (8, " \n"), (9, "lone"), (9, "lone")]
+    given += [(None, b + " y"), (None, b), (None, "z " + b), (None, "alone now")]
+    schema = "doc_id long, text string, _gone string, _row int, _id string, _sha string, doc_ID2 string"
+    df = spark.createDataFrame([(*r, "x", 1, "x", "x", "x") for r in given], schema).repartition(3)
+    kept = jaccard_join.drop_near_copies(spark, df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(3, a), (5, b), (7, None), (7, None), (8, " \n"), (8, " \n"), (9, "lone"), (None, "alone now")]
+    assert got == sorted(want, key=repr)
+    exact = exact_dedup.drop_copies(spark, df)
+    assert exact.columns == df.columns and exact.count() == len({t or "" for _, t in given})
+
+
 @pytest.mark.parametrize("sizes", [(1, 60), (20, 25, 23)])
 def test_regions_are_dealt_out_to_tasks(spark, monkeypatch, sizes):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)

@@ -3,15 +3,16 @@
 A conversation's turns become one or more training texts (windows). Prefix sums of
 the turns' tokens place each turn on its conversation's token line; the line is cut
 at multiples of a stride, at turn borders. Every window starts with the
-conversation's system turn and with as many of the turns before it as fit in
-``history`` tokens. Those are repeated for context only: the loss mask covers each
-assistant text once, in the window where it is new.
+conversation's system turn and with as many turns of the window before as fit in
+``history`` tokens and in the room that the system turn and the new turns leave. Those
+are repeated for context only: the loss mask covers each assistant text once, in the
+window where it is new.
 
 Budget: stride = budget - history - system tokens - reserve. A turn that crosses a
 cut stays in the window where it starts, which is what ``reserve`` is kept for. A
-turn longer than ``reserve`` is alone in its window, and ``n_tokens`` passes the
-budget only if such a turn (or a system turn) does not fit by itself; nothing is
-cut or dropped.
+turn longer than ``reserve`` is the only new one of its window, and so is every turn where
+the system turn leaves no stride. ``n_tokens`` passes the budget only if a window's one new
+turn and the system turn do so by themselves; nothing is cut or dropped.
 
 Template: ``<s>[ROLE]role[/ROLE]text</s>`` per turn. Each control string inside a
 role or text gets a backslash behind its first bracket (one more if it already has
@@ -140,8 +141,10 @@ def chat_windows(
         raise ValueError("budget must pass history + reserve")
     turns = _placed(_turns(conversations, conv, turn, role, text), budget, history, reserve)
     cells = turns.groupBy("conv", "segment", "cell").agg(
-        F.min("start").alias("at"), F.first("system").alias("system")
+        F.min("start").alias("at"), F.sum("tokens").alias("new"), F.first("system").alias("system")
     )
+    left = F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - F.col("new")
+    room = F.greatest(F.least(F.lit(history).cast("long"), left), F.lit(0).cast("long"))
     order = Window.partitionBy("conv").orderBy("segment", "cell")
     cells = cells.select(
         F.col("conv").alias("c_conv"),
@@ -149,6 +152,7 @@ def chat_windows(
         F.col("cell").alias("c_cell"),
         (F.row_number().over(order) - 1).alias("window"),
         F.lead("at").over(order).alias("next_at"),
+        F.lead(room).over(order).alias("next_room"),
         "system",
     )
     placed = turns.drop("system").join(
@@ -158,7 +162,7 @@ def chat_windows(
         & (F.col("cell") == F.col("c_cell")),
     )
     is_system = (F.col("number") == 0) & (F.col("role") == "system")
-    again = (F.col("next_at") - F.col("start") <= history) & ~is_system
+    again = (F.col("next_at") - F.col("start") <= F.col("next_room")) & ~is_system
     entry = lambda window, kind: F.struct(window.alias("window"), F.lit(kind).alias("kind"))
     rows = placed.select(
         "conv",

@@ -83,11 +83,12 @@ WITH all_turns AS (
   FROM placed
 ), cells AS (
   SELECT conv_id, segment, cell, any_value(system_chars) AS system_chars,
-    lead(min(start)) OVER w AS next_at, row_number() OVER w - 1 AS win
+    lead(min(start)) OVER w AS next_at, row_number() OVER w - 1 AS win,
+    lead(greatest(least(256, 2048 - coalesce(any_value(system_tokens), 0) - sum(tokens)), 0)) OVER w AS next_room
   FROM celled GROUP BY conv_id, segment, cell
   WINDOW w AS (PARTITION BY conv_id ORDER BY segment, cell)
 ), shown AS (
-  SELECT conv_id, sum(c.chars * (1 + (x.next_at IS NOT NULL AND x.next_at - c.start <= 256
+  SELECT conv_id, sum(c.chars * (1 + (x.next_at IS NOT NULL AND x.next_at - c.start <= x.next_room
     AND NOT (c.number = 0 AND c.role = 'system'))::BIGINT)) AS chars
   FROM celled c JOIN cells x USING (conv_id, segment, cell) GROUP BY conv_id
 ), systems AS (

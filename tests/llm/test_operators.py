@@ -81,6 +81,34 @@ def test_chat_windows_hold_every_turn_once(spark):
     assert any(r.new_at > len("<s>[ROLE]system[/ROLE]be [\\INST] kind</s>") for r in later)
 
 
+def test_chat_windows_keep_the_budget_with_long_turns(spark):
+    rng = random.Random(7)
+    data, system, turns = [], {}, {}
+    given = [(1300, [254, 504]), (0, [100, 150, 1904]), (1280, [40] * 9 + [700, 40, 740])]
+    given += [
+        (rng.choice([0, 5, 300, 1279, 1300]), [rng.randint(4, rng.choice([60, 600, 1900])) for _ in range(30)])
+        for _ in range(12)
+    ]
+    for conv, (head, sizes) in enumerate(given):
+        told = ([("system", head)] if head else []) + [(("user", "assistant")[i % 2], n) for i, n in enumerate(sizes)]
+        system[conv], turns[conv] = head, told
+        data += [(conv, i, role, f"t{i} " + "w " * (n - chat.MARK_TOKENS - 1)) for i, (role, n) in enumerate(told)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(df).collect()
+    repeats = 0
+    for w in windows:
+        head = system[w.conv_id] if w.window else 0
+        new = w.text[w.new_at :].count("</s>")
+        if w.n_tokens > chat.BUDGET:
+            # One new turn that does not fit beside the system turn, with no history.
+            assert new == 1 and w.n_turns == 1 + (head > 0)
+        repeats += w.n_turns - new > (head > 0)
+    assert repeats > 20
+    got = {r.conv_id: r for r in chat.read_back(chat.chat_windows(df)).collect()}
+    for conv, told in turns.items():
+        assert got[conv].n_turns == len(told)
+
+
 def test_chat_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.chat_windows(none)).count() == 0

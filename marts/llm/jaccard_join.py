@@ -25,10 +25,12 @@ exact.
   more than ``BLOCK`` documents is dealt out to tasks first: blocks of those outside its largest
   component against blocks of all, each task with cells of its own.
 
-Candidates are pruned by the sketches (a sound bound) and verified on the texts' whole
+Candidates are pruned by the sketches (a sound bound) and verified on the whole
 shingle sets. Equal sets are one row from the start.
 
-Scale: texts never shuffle except those of candidates. A pivot shingle's rows are read
+Scale: texts are read and hashed once; the sorted hashes of every set are written beside its
+id (eight bytes a shingle, once for the copies of a batch), and all later steps read those.
+They shuffle for candidates only, texts never. A pivot shingle's rows are read
 as a sorted stream, a third of all documents in one region are at most about a
 hundredth of the rows. Filters that go to all tasks have a fixed size, ``BITS`` bits; what they
 let through by chance costs time only. Shingles are 64-bit hashes, sets 64-bit digests
@@ -127,19 +129,26 @@ class BitFilter:
 
 
 def _set_rows(seed: int):
+    """Every row's set by id, second digest and size; its hashes with the first of a batch's copies."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, check, n = [], [], []
+            sid, check, n, hashes = [], [], [], []
+            done: set[int] = set()
             for _, s in text_sets(batch["text"]):
-                sid.append(set_id(s, seed) if len(s) else None)
+                own = set_id(s, seed) if len(s) else None
+                sid.append(own)
                 check.append(set_id(s, seed + 1_000_003))
                 n.append(len(s))
+                hashes.append(None if own is None or own in done else s.tobytes())
+                done.add(own)
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
                     "sid": pa.array(sid, pa.int64()),
                     "other": pa.array(check, pa.int64()),
                     "n": pa.array(n, pa.int64()),
+                    "hashes": pa.array(hashes, pa.binary()),
                 }
             )
 
@@ -147,46 +156,48 @@ def _set_rows(seed: int):
 
 
 def set_table(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int]:
-    """``(doc_id, sid, n)`` of every row, and the seed for which equal ids mean equal sets."""
+    """``(doc_id, sid, n, hashes)`` of every row, and the seed for which equal ids mean equal sets.
+
+    ``hashes`` are a set's sorted shingle hashes, eight bytes each; null where another row
+    of the same set has them.
+    """
+    schema = "doc_id long, sid long, other long, n long, hashes binary"
     for seed in itertools.count():
         folder = new_folder(spark, "sets")
-        rows.mapInArrow(_set_rows(seed), "doc_id long, sid long, other long, n long").write.parquet(folder)
+        rows.mapInArrow(_set_rows(seed), schema).write.parquet(folder)
         sets = spark.read.parquet(folder)
         clash = sets.groupBy("sid").agg(
             (F.min("other") != F.max("other")).alias("c1"), (F.min("n") != F.max("n")).alias("c2")
         )
         if clash.where("sid is not null and (c1 or c2)").isEmpty():
-            return sets.select("doc_id", "sid", "n"), seed
+            return sets.select("doc_id", "sid", "n", "hashes"), seed
 
 
-def _prefix_rows(seed: int, later: BitFilter, only: BitFilter | None):
+def _prefix_rows(later: BitFilter, only: BitFilter | None):
     """(h, sid, size and position) of the prefix under the order (later or not, hash)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, sid, size, position = [], [], [], []
-            done: set[int] = set()
-            for _, s in text_sets(batch["text"]):
-                if not len(s):
-                    continue
-                own = set_id(s, seed)
-                if own in done or only is not None and not only.has(np.array([own]))[0]:
-                    continue
-                done.add(own)
+            ids = batch["sid"].to_numpy()
+            rows = np.arange(len(ids)) if only is None else np.flatnonzero(only.has(ids))
+            h, size, lengths = [], [], []
+            for i in rows.tolist():
+                s = np.frombuffer(batch["hashes"][i].as_buffer(), dtype=np.uint64)
                 m = prefix_length(len(s))
                 last = later.has(s)
                 if last.any():
                     s = np.concatenate((s[~last], s[last]))
                 h.append(s[:m])
-                sid.append(np.full(m, own))
-                size.append(np.full(m, len(s)))
-                position.append(np.arange(m))
+                size.append(len(s))
+                lengths.append(m)
             if h:
+                m = np.array(lengths)
+                position = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 yield pa.record_batch(
                     {
                         "h": np.concatenate(h).view(np.int64),
-                        "sid": np.concatenate(sid),
-                        "np": (np.concatenate(size) << 32) | np.concatenate(position),
+                        "sid": np.repeat(ids[rows], m),
+                        "np": (np.repeat(np.array(size), m) << 32) | position,
                     }
                 )
 
@@ -253,26 +264,17 @@ def _region_pairs(small: int):
     return task
 
 
-def _candidate_texts(seed: int, only: BitFilter):
+def _candidate_sets(only: BitFilter):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, sid, n, bits = [], [], [], []
-            done: set[int] = set()
-            for i, s in text_sets(batch["text"]):
-                if len(s):
-                    own = set_id(s, seed)
-                    if own not in done and only.has(np.array([own]))[0]:
-                        done.add(own)
-                        take.append(i)
-                        sid.append(own)
-                        n.append(len(s))
-                        bits.append(sketch(s))
+            taken = batch.filter(pa.array(only.has(batch["sid"].to_numpy())))
+            bits = [sketch(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in taken["hashes"]]
             yield pa.record_batch(
                 {
-                    "sid": pa.array(sid, pa.int64()),
-                    "n": pa.array(n, pa.int64()),
+                    "sid": taken["sid"],
+                    "n": taken["n"],
                     "sketch": pa.array(bits, pa.binary()),
-                    "text": batch["text"].take(pa.array(take, pa.int64())),
+                    "hashes": taken["hashes"],
                 }
             )
 
@@ -290,29 +292,23 @@ def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _exact_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for low in range(0, whole.num_rows, 256):
-            batch = whole.slice(low, 256)
-            known: dict[int, np.ndarray] = {}
-            for side in ("a", "b"):
-                ids = batch[side].to_pylist()
-                first = list({x: i for i, x in enumerate(ids)}.values())
-                for i, s in text_sets(batch[f"t_{side}"].take(pa.array(first, pa.int64()))):
-                    known[ids[first[i]]] = s
-            linked = []
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                x, y = known[a], known[b]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(shared >= overlap_needed(len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+    for batch in batches:
+        linked = []
+        for a, b in zip(batch["h_a"], batch["h_b"], strict=True):
+            x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(shared >= overlap_needed(len(x), len(y)))
+        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
 class _Join:
-    """One run of the join: the rows, their sets' seed, and what is verified so far."""
+    """One run of the join: every row's set, and the sets with their hashes."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame) -> None:
-        self.spark, self.rows = spark, rows
-        self.sets, self.seed = set_table(spark, rows)
+        self.spark = spark
+        sets, _ = set_table(spark, rows)
+        self.sets = sets.drop("hashes")
+        self.hashed = sets.where("hashes is not null").select("sid", "n", "hashes")
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         folder = new_folder(self.spark, name)
@@ -320,9 +316,7 @@ class _Join:
         return self.spark.read.parquet(folder)
 
     def regions(self, later: BitFilter, only: BitFilter | None) -> DataFrame:
-        prefixes = self.rows.mapInArrow(
-            _prefix_rows(self.seed, later, only), "h long, sid long, np long"
-        )
+        prefixes = self.hashed.mapInArrow(_prefix_rows(later, only), "h long, sid long, np long")
         order = ("h", "np", "sid")
         return self.written(
             prefixes.repartition("h")
@@ -361,25 +355,24 @@ class _Join:
         """The pairs that are links, and the candidates' sketches."""
         pairs = self.written(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-        texts = self.written(
-            self.rows.mapInArrow(
-                _candidate_texts(self.seed, BitFilter(ids)), "sid long, n long, sketch binary, text string"
+        sets = self.written(
+            self.hashed.mapInArrow(
+                _candidate_sets(BitFilter(ids)), "sid long, n long, sketch binary, hashes binary"
             ).dropDuplicates(["sid"]),
             "candidates",
         )
-        side = lambda s: texts.select(
+        side = lambda s: sets.select(
             F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")
         )
         near = (
             pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter, "a long, b long")
         )
         near = self.written(near, "near")
-        text = lambda s: texts.select(F.col("sid").alias(s), F.col("text").alias(f"t_{s}"))
-        # Rows of one document stand together, so that its set is made once.
+        whole = lambda s: sets.select(F.col("sid").alias(s), F.col("hashes").alias(f"h_{s}"))
         exact = (
-            near.join(text("a"), "a").join(text("b"), "b").mapInArrow(_exact_filter, "a long, b long")
+            near.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_exact_filter, "a long, b long")
         )
-        return self.written(exact, "exact"), texts.select("sid", "n", "sketch")
+        return self.written(exact, "exact"), sets.select("sid", "n", "sketch")
 
     def links(self) -> DataFrame:
         pairs, dense = self.candidates()

@@ -30,7 +30,7 @@ shingle sets. Equal sets are one row from the start.
 
 Scale: texts are read and hashed once; the sorted hashes of every set are written beside its
 id (eight bytes a shingle, once for the copies of a batch), and all later steps read those.
-They shuffle for candidates only, texts never. A pivot shingle's rows are read
+They shuffle only for pairs that the sketches leave open, texts never. A pivot shingle's rows are read
 as a sorted stream, a third of all documents in one region are at most about a
 hundredth of the rows. Filters that go to all tasks have a fixed size, ``BITS`` bits; what they
 let through by chance costs time only. Shingles are 64-bit hashes, sets 64-bit digests
@@ -66,6 +66,8 @@ BITS = 22
 SKETCH_BITS = 8192
 CELL = 512
 CELL_PIVOTS = 8
+#: Bytes of hashes after which a task passes its rows on.
+HELD_BYTES = 4 << 20
 #: Rows of a region that one task takes; larger regions are dealt out, none is left out.
 BLOCK = 16_384
 
@@ -133,24 +135,26 @@ def _set_rows(seed: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, check, n, hashes = [], [], [], []
             done: set[int] = set()
-            for _, s in text_sets(batch["text"]):
+            rows, held, low = [], 0, 0
+            for i, s in text_sets(batch["text"]):
                 own = set_id(s, seed) if len(s) else None
-                sid.append(own)
-                check.append(set_id(s, seed + 1_000_003))
-                n.append(len(s))
-                hashes.append(None if own is None or own in done else s.tobytes())
+                first = own is not None and own not in done
                 done.add(own)
-            yield pa.record_batch(
-                {
-                    "doc_id": batch["doc_id"],
-                    "sid": pa.array(sid, pa.int64()),
-                    "other": pa.array(check, pa.int64()),
-                    "n": pa.array(n, pa.int64()),
-                    "hashes": pa.array(hashes, pa.binary()),
-                }
-            )
+                rows.append((own, set_id(s, seed + 1_000_003), len(s), s.tobytes() if first else None))
+                held += s.nbytes if first else 0
+                if held > HELD_BYTES or i + 1 == batch.num_rows:
+                    sid, check, n, hashes = zip(*rows, strict=True)
+                    yield pa.record_batch(
+                        {
+                            "doc_id": batch["doc_id"].slice(low, len(rows)),
+                            "sid": pa.array(sid, pa.int64()),
+                            "other": pa.array(check, pa.int64()),
+                            "n": pa.array(n, pa.int64()),
+                            "hashes": pa.array(hashes, pa.binary()),
+                        }
+                    )
+                    rows, held, low = [], 0, i + 1
 
     return task
 
@@ -264,19 +268,16 @@ def _region_pairs(small: int):
     return task
 
 
-def _candidate_sets(only: BitFilter):
+def _chosen_sets(only: BitFilter, *, sketches: bool):
+    """The sets of the filter, with their sketches or with their hashes."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             taken = batch.filter(pa.array(only.has(batch["sid"].to_numpy())))
-            bits = [sketch(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in taken["hashes"]]
-            yield pa.record_batch(
-                {
-                    "sid": taken["sid"],
-                    "n": taken["n"],
-                    "sketch": pa.array(bits, pa.binary()),
-                    "hashes": taken["hashes"],
-                }
-            )
+            if sketches:
+                bits = [sketch(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in taken["hashes"]]
+                taken = taken.set_column(2, "sketch", pa.array(bits, pa.binary()))
+            yield taken
 
     return task
 
@@ -352,27 +353,32 @@ class _Join:
         return pairs.distinct(), dense
 
     def linked(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that are links, and the candidates' sketches."""
+        """The pairs that are links, and the candidates' sketches.
+
+        Hashes are sent only of sets in a pair that the sketches leave open.
+        """
         pairs = self.written(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-        sets = self.written(
-            self.hashed.mapInArrow(
-                _candidate_sets(BitFilter(ids)), "sid long, n long, sketch binary, hashes binary"
-            ).dropDuplicates(["sid"]),
-            "candidates",
-        )
-        side = lambda s: sets.select(
+        sketches = self.chosen(pairs, "sketch")
+        side = lambda s: sketches.select(
             F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")
         )
         near = (
             pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sketch_filter, "a long, b long")
         )
         near = self.written(near, "near")
+        sets = self.chosen(near, "hashes")
         whole = lambda s: sets.select(F.col("sid").alias(s), F.col("hashes").alias(f"h_{s}"))
         exact = (
             near.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_exact_filter, "a long, b long")
         )
-        return self.written(exact, "exact"), sets.select("sid", "n", "sketch")
+        return self.written(exact, "exact"), sketches
+
+    def chosen(self, pairs: DataFrame, column: str) -> DataFrame:
+        """``(sid, n, column)`` of the sets in ``pairs`` (and of those that the filter lets through)."""
+        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+        task = _chosen_sets(BitFilter(ids), sketches=column == "sketch")
+        found = self.hashed.mapInArrow(task, f"sid long, n long, {column} binary")
+        return self.written(found.dropDuplicates(["sid"]), f"chosen-{column}")
 
     def links(self) -> DataFrame:
         pairs, dense = self.candidates()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -533,6 +534,73 @@ def test_warc_round_trip_and_push_down(spark, tmp_path):
     assert warc.read_pages(spark, empty).count() == 0
 
 
+def foreign_record(kind, uri, block, *extra, end="\r\n\r\n"):
+    lines = ["WARC/1.0", f"warc-type: {kind}", f"WARC-Target-URI: {uri}", "WARC-Record-ID: <urn:uuid:1>"]
+    lines += ["WARC-Date: 2020-01-01T00:00:00Z", *extra, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + end.encode()
+
+
+FOREIGN = [
+    ("warcinfo", "a", b"software: x\r\n\r\n", ()),
+    ("response", "http://a/x%20y", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"WARC/1.0 z" * 30_000,
+     ("Content-Type: application/http;\r\n msgtype=response", "WARC-Payload-Digest: sha1:ABC")),
+    ("revisit", "b", b"HTTP/1.1 200 OK\r\n\r\n",
+     ("Content-Type: application/http", "WARC-Refers-To: <urn:uuid:9>", "WARC-Payload-Digest: md5:1")),
+    ("resource", "c", b"", ()),
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one_member"])
+def test_warc_reads_archives_of_other_writers(spark, tmp_path, form):
+    raw = [foreign_record(k, u, b, *x) for k, u, b, x in FOREIGN]
+    data = {
+        "plain": b"".join(raw), "members": b"".join(map(gzip.compress, raw)), "one_member": gzip.compress(b"".join(raw))
+    }[form]
+    name = "other.warc" if form == "plain" else "other.warc.gz"
+    (tmp_path / name).write_bytes(data)
+    (tmp_path / f"part-{'0' * 32}.warc.gz").write_bytes(b"of a failed task")
+    warc.write_pages(spark.createDataFrame([(7, "http://own/", "own")], "page_id long, url string, html string"), str(tmp_path))
+    read = spark.read.format("warc").option("path", str(tmp_path)).option("split_bytes", 1).load()
+    got = {r.target_uri: r for r in read.collect()}
+    assert len(got) == 5 and bytes(got["http://own/"].payload) == b"own"
+    page = got["http://a/x%20y"]
+    assert bytes(page.payload) == b"WARC/1.0 z" * 30_000 and page.payload_bytes == 300_000
+    assert (page.payload_digest, page.record_date, page.record_id) == ("ABC", "2020-01-01T00:00:00Z", "urn:uuid:1")
+    assert (got["b"].payload_bytes, got["b"].refers_to, got["b"].payload_digest) == (None, "urn:uuid:9", "md5:1")
+    assert bytes(got["a"].payload) == b"software: x\r\n\r\n" and got["c"].payload_bytes == 0
+    assert [r.target_uri for r in read.where("record_type = 'resource'").select("target_uri").collect()] == ["c"]
+    assert [r.target_uri for r in read.where("payload_bytes = 300000").collect()] == ["http://a/x%20y"]
+    for cut in (len(data) - 9, len(data) - len(raw[-1]) - 12):
+        if form == "plain" or cut == len(data) - 9:
+            with pytest.raises(ValueError, match="ends inside|no WARC record"):
+                list(warc.records(pa.BufferReader(data[:cut]), ["payload"], []))
+
+
+def test_warc_records_carry_the_mandatory_headers(spark, tmp_path):
+    pages = [(1, "http://a/x%20y", "same"), (2, "http://b/\n", "same"), (3, None, ""), (4, "d", "z" * 90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_pages(df, str(tmp_path))
+    found = {}
+    for file in tmp_path.glob("*.warc.gz"):
+        for record in gzip.decompress(file.read_bytes()).split(b"WARC/1.1\r\n")[1:]:
+            head, _, block = record.decode().partition("\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.split("\r\n"))
+            assert len(block) == int(fields["Content-Length"]) + 4 and block.endswith("\r\n\r\n")
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+            found[fields["WARC-Record-ID"]] = (fields, block)
+    assert sorted(found) == [f"<urn:page:{i}>" for i in (1, 2, 3, 4)]
+    one, two = found["<urn:page:1>"], found["<urn:page:2>"]
+    assert one[0]["WARC-Target-URI"] == "http://a/x%20y" and one[1].startswith("HTTP/1.1 200 OK\r\n")
+    assert one[0]["WARC-Payload-Digest"] == "sha1:" + warc.payload_digest(b"same")
+    assert two[0]["WARC-Target-URI"] == "http://b/%0A" and two[0]["WARC-Refers-To"] == "<urn:page:1>"
+    assert two[0]["WARC-Profile"].endswith("/revisit/identical-payload-digest")
+    many = str(tmp_path / "many")
+    spark.range(300).selectExpr("cast(id as string) record_id", "'resource' record_type", "cast('x' as binary) payload") \
+        .write.format("warc").option("path", many).option("max_bytes", 2000).mode("append").save()
+    read = spark.read.format("warc").option("path", many).option("split_bytes", 5000).load()
+    assert sorted(int(r.record_id) for r in read.collect()) == list(range(300))
+
+
 def test_warc_reader_skips_what_is_not_wanted(tmp_path):
     class Counted:
         def __init__(self, data):

@@ -29,7 +29,8 @@ Candidates are pruned by the sketches (a sound bound) and verified on the whole
 shingle sets. Equal sets are one row from the start.
 
 Scale: texts are read and hashed once; the sorted hashes of every set are written beside its
-id (eight bytes a shingle, once for the copies of a batch), and all later steps read those.
+id (eight bytes a shingle, once for the copies among ``SEEN`` sets of a task), and all later steps read those.
+Texts and hashes go to Python in batches of bounded bytes and are worked on in slices.
 They shuffle only for pairs that the sketches leave open, texts never. A pivot shingle's rows are read
 as a sorted stream, a third of all documents in one region are at most about a
 hundredth of the rows. Filters that go to all tasks have a fixed size, ``BITS`` bits; what they
@@ -55,7 +56,7 @@ from pyspark.sql import functions as F
 
 from marts.llm.arrays import BLANK, LOWER, shingles, text_slices
 from marts.llm.components import connected_components
-from marts.llm.workers import ship
+from marts.llm.workers import ship, small_batches
 from marts.operators.merge import free_name
 from marts.session import new_folder
 
@@ -66,8 +67,13 @@ BITS = 22
 SKETCH_BITS = 8192
 CELL = 512
 CELL_PIVOTS = 8
-#: Bytes of hashes after which a task passes its rows on.
-HELD_BYTES = 4 << 20
+#: Bytes of hashes after which a task passes its rows on, and of text that it hashes at once.
+HELD_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
+#: Rows with their text that a task passes on at once.
+PASSED_ROWS = 1_024
+#: Sets whose hashes a task knows to be written; beyond it the memory starts anew.
+SEEN = 50_000
 #: Rows of a region that one task takes; larger regions are dealt out, none is left out.
 BLOCK = 16_384
 
@@ -83,7 +89,7 @@ def prefix_length(n):
 
 def text_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Each text with its sorted distinct shingle hashes."""
-    for first, data, offsets in text_slices(column):
+    for first, data, offsets in text_slices(column, TEXT_BYTES):
         h, bounds, _ = shingles(LOWER[data], ~BLANK[data], offsets, SIZE)
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             yield first + i, np.unique(h[a:b])
@@ -131,13 +137,15 @@ class BitFilter:
 
 
 def _set_rows(seed: int):
-    """Every row's set by id, second digest and size; its hashes with the first of a batch's copies."""
+    """Every row's set by id, second digest and size; its hashes with the first of a task's copies."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            done: set[int] = set()
             rows, held, low = [], 0, 0
             for i, s in text_sets(batch["text"]):
+                if len(done) > SEEN:
+                    done.clear()
                 own = set_id(s, seed) if len(s) else None
                 first = own is not None and own not in done
                 done.add(own)
@@ -168,7 +176,8 @@ def set_table(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, int]:
     schema = "doc_id long, sid long, other long, n long, hashes binary"
     for seed in itertools.count():
         folder = new_folder(spark, "sets")
-        rows.mapInArrow(_set_rows(seed), schema).write.parquet(folder)
+        with small_batches(spark):
+            rows.mapInArrow(_set_rows(seed), schema).write.parquet(folder)
         sets = spark.read.parquet(folder)
         clash = sets.groupBy("sid").agg(
             (F.min("other") != F.max("other")).alias("c1"), (F.min("n") != F.max("n")).alias("c2")
@@ -313,7 +322,8 @@ class _Join:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         folder = new_folder(self.spark, name)
-        df.write.parquet(folder)
+        with small_batches(self.spark):
+            df.write.parquet(folder)
         return self.spark.read.parquet(folder)
 
     def regions(self, later: BitFilter, only: BitFilter | None) -> DataFrame:
@@ -606,7 +616,9 @@ def drop_near_copies(
             for batch in batches:
                 open_ = suspects.has(batch.column(at).to_numpy())
                 open_ &= batch.column(has_word).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(open_ == suspect))
+                taken = pa.array(open_ == suspect)
+                for low in range(0, batch.num_rows, PASSED_ROWS):
+                    yield batch.slice(low, PASSED_ROWS).filter(taken.slice(low, PASSED_ROWS))
 
         return told.mapInArrow(task, told.schema)
 

@@ -26,6 +26,7 @@ from marts.llm import (
     queries,
     substring_repeats,
     warc,
+    workers,
 )
 from marts.llm.components import connected_components
 from marts.llm.suffix_array import join_texts, repeated_starts, suffix_array
@@ -406,6 +407,26 @@ def test_jaccard_empty_and_kept_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
 
 
+def test_hashes_of_a_set_are_written_once_a_task(monkeypatch):
+    texts = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["a b c d e f", "x"])})
+    written = lambda: [
+        h is not None for b in jaccard_join._set_rows(0)(iter([texts, texts])) for h in b["hashes"].to_pylist()
+    ]
+    assert written() == [True, True, False, False]
+    monkeypatch.setattr(jaccard_join, "SEEN", 0)
+    assert written()[:2] == [True, True]
+
+
+def test_wide_rows_reach_python_in_small_batches(spark):
+    join = jaccard_join._Join(spark, docs(spark, ["a b c d e f"]).select("doc_id", "text"))
+    wide = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    sizes = lambda batches: (pa.record_batch({"size": pa.array([b.nbytes])}) for b in batches)
+    before = spark.conf.get(workers._BATCH_CONF)
+    got = [r.size for r in join.written(wide.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(got) > 6000 * 4000 and max(got) < 1.1 * workers.BATCH_BYTES
+    assert spark.conf.get(workers._BATCH_CONF) == before
+
+
 def test_near_copies_are_told_by_id_and_text(spark):
     a = " ".join(f"w{i}" for i in range(40))
     b = " ".join(f"v{i}" for i in range(40))

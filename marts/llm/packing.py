@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marts.llm.tokens import WordTokenizer
-from marts.llm.workers import ship
+from marts.llm.workers import ship, small_batches
 from marts.session import new_folder
 
 LENGTH = 2048
@@ -36,6 +36,8 @@ END_ID = 1
 DIMENSIONS = 4
 BITS = 4
 _SEED = 20240601
+#: Rows that a task works on at once.
+_ROWS = 1024
 _CELL_BITS = 24  # of the sort key: 16 of the curve, 8 of the document's hash
 
 TOKENIZED = "doc_id long, key long, tie string, n long, ids binary"
@@ -109,8 +111,8 @@ def tokenized(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: st
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokenizer(vocabulary)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
+            for low in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(low, _ROWS)
                 ids = encoder.encode(batch["text"])
                 curve = hilbert(np.array([place(x) for x in ids]).reshape(len(ids), DIMENSIONS))
                 closed = [np.append(x, np.uint16(END_ID)).tobytes() for x in ids]
@@ -139,7 +141,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents with their sequence and place in it; ``ids`` are 16-bit, little-endian."""
     folder = new_folder(spark, "packing")
-    tokenized(docs, vocabulary, key=key, text=text).write.parquet(folder)
+    with small_batches(spark):
+        tokenized(docs, vocabulary, key=key, text=text).write.parquet(folder)
     rows = spark.read.parquet(folder)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -208,7 +211,7 @@ def _cutter(total: int, length: int):
             done += size
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, _ROWS) for b in batches for low in range(0, b.num_rows, _ROWS)):
             out = []
             for doc, at, n, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "at", "n", "ids")), strict=True):
                 wide = np.frombuffer(ids, "<u2").astype("<u4")

@@ -17,8 +17,12 @@ import pyarrow as pa
 
 from marts.llm.arrays import ranges, span_hashes, text_slices
 
-#: Pieces a worker remembers; beyond it the memory starts anew (results do not change).
-KNOWN_PIECES = 1_000_000
+#: Pieces a worker remembers: twice so many, of which the half not used last is forgotten first
+#: (results do not change).
+KNOWN_PIECES = 100_000
+
+#: Bytes of text that are split at once.
+TEXT_BYTES = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
 
@@ -54,6 +58,7 @@ class WordTokenizer:
         self._model = self._tokenizer.model
         self._alphabet = str.maketrans(_byte_letters())
         self._known: dict[int, bytes] = {}
+        self._older: dict[int, bytes] = {}
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode("latin-1")
@@ -64,7 +69,7 @@ class WordTokenizer:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[np.ndarray] = []
-        for first, data, offsets in text_slices(column):
+        for first, data, offsets in text_slices(column, TEXT_BYTES):
             out += self._slice(column, first, data, offsets)
         return out
 
@@ -111,13 +116,13 @@ class WordTokenizer:
             span_hashes(data, starts, ends), return_index=True, return_inverse=True
         )
         if len(self._known) > KNOWN_PIECES:
-            self._known.clear()
-        known, found, raw = self._known, [], data.tobytes()
+            self._known, self._older = {}, self._known
+        known, older, found, raw = self._known, self._older, [], data.tobytes()
         starts, ends = starts[where].tolist(), ends[where].tolist()
         for h, a, b in zip(hashes.tolist(), starts, ends, strict=True):
             ids = known.get(h)
             if ids is None:
-                ids = known[h] = self._piece(raw[a:b])
+                ids = known[h] = older.get(h) or self._piece(raw[a:b])
             found.append(ids)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 2
         flat = np.frombuffer(b"".join(found), dtype=np.uint16)

@@ -25,6 +25,7 @@ from marts.llm import (
     pii,
     queries,
     substring_repeats,
+    tokens,
     warc,
     workers,
 )
@@ -655,6 +656,20 @@ def test_warc_reader_skips_what_is_not_wanted(tmp_path):
 # -- op10
 
 
+def test_frequent_pieces_stay_known(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 20)
+    tokenizer = WordTokenizer(queries.vocabulary())
+    asked = []
+    piece = tokenizer._piece
+    monkeypatch.setattr(tokenizer, "_piece", lambda x: (asked.append(x), piece(x))[1])
+    for i in range(50):
+        text = "the " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}{'x' * (i // 26)}" for j in range(9))
+        (got,) = tokenizer.encode(pa.array([text]))
+        assert got.tolist() == tokenizer._tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(tokenizer._known) + len(tokenizer._older) <= 60
+    assert asked.count(b"the") == 1
+
+
 def test_packing_is_gapless(spark):
     path = queries.vocabulary()
     rng = random.Random(10)

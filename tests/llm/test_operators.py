@@ -26,6 +26,7 @@ from marts.llm import (
     queries,
     substring_repeats,
     tokens,
+    trees,
     warc,
     workers,
 )
@@ -251,6 +252,35 @@ def test_neighbouring_numbers_are_proposed_and_found(spark):
     assert {("card", 0, 16), ("card", 17, 33)} <= set(pii.added_spans(two, [], model))
 
 
+def test_all_rows_are_learnt_from(spark):
+    """Proposals of a label that only one text in a thousand holds, and copies, which count once."""
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    plain = [f"nothing here {i}" for i in range(30_000)]
+    good = [f"call +49 30 {digits(7)} now" for _ in range(30)]
+    bad = [f"order {digits(9)} sent" for _ in range(30)]
+    assert "phone" in pii.learn(docs(spark, [*plain, *good, *bad]))
+    assert pii.learn(docs(spark, [good[0]] * 200 + [bad[0]] * 200)) == {}
+
+
+def test_boosted_trees_do_not_depend_on_the_layout(spark):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    texts = [f"call +49 30 {digits(7)} now" for _ in range(60)] + [f"order {digits(9)} sent" for _ in range(60)]
+    one, other = (pii.learn(docs(spark, t).repartition(k)) for t, k in ((texts, 1), (texts[::-1], 7)))
+    assert one.keys() == other.keys() == {"phone"}
+    x = np.array([pii.features(t, s) for t in texts for s in pii.proposals(t)])
+    assert (one["phone"][0].probability(x) == other["phone"][0].probability(x)).all()
+    assert one["phone"][1] == other["phone"][1]
+
+
+def test_counted_quantiles_are_those_of_the_rows():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 60, 5000) / 7
+    want = np.unique(np.quantile(x, np.linspace(0, 1, trees.BINS)[1:-1]))
+    assert np.allclose(trees.quantile_edges(*np.unique(x, return_counts=True)), want)
+
+
 def test_of_overlapping_numbers_the_fewest_stay():
     near = "+1 (826) 555-4081 190.137.223.204"
     scored = [(s, 0.9) for s in pii.proposals(near)]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marts.llm.arrays import LOWER, shingles, text_slices
-from marts.llm.workers import ship
+from marts.llm.workers import lean, ship
 
 SIZE = 5
 CONTAINMENT = 0.8
@@ -157,7 +157,7 @@ def mark_leaks(
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         rows = sorted(((r.id, r.text) for r in block.collect()), key=_nulls_first)
-        docs = docs.mapInArrow(_marker(Sketches(rows, containment, size), text), docs.schema)
+        docs = docs.mapInArrow(lean(_marker(Sketches(rows, containment, size), text)), docs.schema)
     return docs
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marts.llm.workers import ship
+from marts.llm.workers import lean, ship
 
 #: N-grams in a profile.
 TOP = 300
@@ -134,7 +134,7 @@ def language_profiles(
     """``(lang, rank, gram)`` of the rows that have a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     ship(docs.sparkSession)
-    counts = rows.mapInArrow(_count_task, "lang string, gram long, n long")
+    counts = rows.mapInArrow(lean(_count_task), "lang string, gram long, n long")
     # One n-gram's counts meet in one task, partial sums before; the ranking sees
     # each distinct n-gram of a language once.
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -185,7 +185,7 @@ def identify(
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     added = T.StructType().add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *added.fields]))
+    return docs.mapInArrow(lean(predict), T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def held_out(key: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marts.llm.tokens import WordTokenizer
-from marts.llm.workers import ship, small_batches
+from marts.llm.workers import lean, ship, small_batches
 from marts.session import new_folder
 
 LENGTH = 2048
@@ -127,7 +127,7 @@ def tokenized(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: st
                 )
 
     ship(docs.sparkSession)
-    return rows.mapInArrow(task, TOKENIZED)
+    return rows.mapInArrow(lean(task), TOKENIZED)
 
 
 def pack(
@@ -178,7 +178,7 @@ def pack(
         .join(cells, "cell")
         .select("doc_id", (F.col("cell_at") + F.col("inside")).alias("at"), "n", "ids")
     )
-    return placed.mapInArrow(_cutter(int(total), length), PIECES)
+    return placed.mapInArrow(lean(_cutter(int(total), length)), PIECES)
 
 
 def borders(total: int, length: int) -> list[tuple[int, int]]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import sys
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marts.llm import queries
+from marts.llm import queries, workers
 
 from test_operators import brute_components, brute_leaks
 
@@ -61,3 +65,46 @@ def test_stages_on_an_empty_table(spark, small, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0, name
+
+
+def test_batches_stay_bounded_when_the_caller_runs_a_stage(spark, small):
+    def batch_bytes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes], pa.int64())})
+
+    text = F.concat(F.lit("word "), F.repeat(F.concat(F.lit("alpha beta "), "id", F.lit(" ")), 200))
+    docs = spark.range(0, 4_000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")
+    )
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language_id", "decontamination"):
+            spark.conf.unset(bound)
+            found = stage(spark, docs, small).mapInArrow(batch_bytes, "n long").agg(F.max("n")).first()[0]
+            assert found < 2 * workers.BATCH_BYTES, name
+    # A bound that the session already has is left alone.
+    spark.conf.set(bound, str(workers.BATCH_BYTES // 2))
+    workers.bound_batches(spark)
+    assert spark.conf.get(bound) == str(workers.BATCH_BYTES // 2)
+    spark.conf.unset(bound)
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc, needs glibc's malloc_trim")
+def test_lean_tasks_keep_no_freed_memory():
+    def used() -> float:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    pins: list[bytes] = []  # live pieces between freed ones: the C library does not shrink its heap by itself
+
+    def task(batches):
+        for batch in batches:
+            held = [b"x" * 60_000 for _ in range(2_000)]
+            pins.extend(held[::200])
+            del held
+            yield batch
+
+    batch = pa.record_batch({"n": pa.array([1], pa.int64())})
+    before = used()
+    assert list(workers.lean(task)(iter([batch, batch]))) == [batch, batch]
+    assert used() - before < 40
